@@ -57,14 +57,14 @@ def let(value, use):
 
 def byte_slices(column, most: int):
     """(start, stop) runs of rows of an Arrow string column, each of about most bytes or one row."""
-    import numpy as np
+    import pyarrow.compute as pc
 
-    sizes = np.asarray(column.fill_null("").to_numpy(zero_copy_only=False).astype(object))
     start = total = 0
-    for i, x in enumerate(sizes):
-        if total and total + len(x) > most:
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
             yield start, i
             start, total = i, 0
-        total += len(x)
+        total += n
     if start < len(sizes):
         yield start, len(sizes)
