@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import worker_state
 
 #: Entries of a worker's table of recent words; when full it starts anew.
-RECENT = 250_000
+RECENT = 200_000
 #: Windows that may be open at once in a task; beyond it the emptiest are cut up to fill the others.
 OPEN = 2_048
 
@@ -47,8 +47,8 @@ class WordTokens:
             self.recent = {"": b""}
         recent = self.recent
         new = list(set().union(*parts).difference(recent))
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
+        for k in range(0, len(new), 5_000):
+            some = new[k : k + 5_000]
             for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 recent[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return [b"".join(map(recent.__getitem__, x)) for x in parts]
