@@ -15,16 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters, letters, packed
 from .common import worker_state
 
 #: Entries of a worker's table of recent words; when full it starts anew.
-RECENT = 200_000
+RECENT = 800_000
 #: Windows that may be open at once in a task; beyond it the emptiest are cut up to fill the others.
 OPEN = 2_048
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that drops white space, word by word with a table of recent words."""
+    """Ids of texts by a tokenizer that lowers case, composes accents and drops white space.
+
+    Such a tokenizer parts words at white space and between letters and marks, so it works
+    word by word, with a table of recent words.
+    """
 
     def __init__(self, path: str):
         import os
@@ -36,21 +41,38 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.recent: dict[str, bytes] = {"": b""}
+        self.letter = {chr(b): x for b, x in enumerate(byte_letters())}
+        self.ends = {c: packed(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+
+    def merged(self, word: str) -> bytes | None:
+        """Ids of a word of Latin-1 letters, perhaps before a punctuation mark; None for others."""
+        end = self.ends.get(word[-1:], b"")
+        word = word[:-1] if end else word
+        if not letters(word):
+            return None
+        lower = word.lower()
+        known = self.recent.get(lower)
+        if known is None:
+            plain = lower if lower.isascii() else "".join(map(self.letter.__getitem__, lower.encode().decode("latin-1")))
+            known = self.recent[lower] = packed([t.id for t in self.tokenizer.model.tokenize(plain)])
+        return known + end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers; a null text has none.
-
-        Line feeds and spaces always part two words for this kind of tokenizer.
-        """
+        """Ids of each text as little-endian 32-bit numbers; a null text has none."""
         parts = [x.replace("\n", " ").split(" ") if x else [""] for x in texts]
         if len(self.recent) > RECENT:
             self.recent = {"": b""}
-        recent = self.recent
-        new = list(set().union(*parts).difference(recent))
-        for k in range(0, len(new), 5_000):
-            some = new[k : k + 5_000]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                recent[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        recent, rest = self.recent, []
+        for word in set().union(*parts).difference(recent):
+            ids = self.merged(word)
+            if ids is None:
+                rest.append(word)
+            else:
+                recent[word] = ids
+        for k in range(0, len(rest), 5_000):
+            some = rest[k : k + 5_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                recent[word] = packed(e.ids)
         return [b"".join(map(recent.__getitem__, x)) for x in parts]
 
 
