@@ -211,7 +211,8 @@ def dictionary_repeats(docs: DataFrame, chosen: DataFrame, doc_id: str, text: st
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, key, spans: for each text with repeats, the byte spans that repeated strings cover (they may overlap)."""
     rows = stored(phrases(docs, doc_id, text), "phrases")
-    cores = rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    # kept as a table, so that a core that very many phrases share can be split in the join
+    cores = stored(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     rows = stored(rows.join(cores, "core"), "candidates")
     place = F.struct("doc", "key", "start", "n")
     entries = stored(rows.groupBy("core", "whole").agg(F.count("*").alias("n_found"), F.min(place).alias("p")), "entries")
