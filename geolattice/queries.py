@@ -1,2 +1,260 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The library's operators as queries over the synthetic tables, and their DuckDB SQL.
+
+No table has geometry, so boxes come from numeric columns of lineitem, cells from a
+range, and files of an index from groups of part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions.columns import BOX, has_source, overlaps, running_sum
+from .functions.geometry import st_bounds, st_meets_box, st_point
+from .operators.analysis import ranked, smallest, with_share
+from .operators.inspection import describe, where_equal
+from .plans.cells import cell_counts
+
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+TOUCH = (10, 2, 20, 4)
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _features(spark, sf_dir):
+    """lineitem as boxes with a source array."""
+    li = _read(spark, sf_dir, "lineitem")
+    tag = lambda name: F.array(F.struct(F.lit(name).alias("dataset")))
+    sources = F.when(F.col("l_returnflag") == "R", tag("OpenStreetMap")).when(F.col("l_returnflag") == "A", tag("Other"))
+    return li.select(
+        *KEYS,
+        F.col("l_quantity").alias("minx"),
+        (F.col("l_tax") * 100).alias("miny"),
+        (F.col("l_quantity") + F.col("l_discount") * 20).alias("maxx"),
+        (F.col("l_tax") * 100 + F.col("l_discount") * 10).alias("maxy"),
+        sources.alias("sources"),
+    )
+
+
+def _cells(spark, low=0, high=2):
+    x, y = F.col("id") % 6 * 10, F.floor(F.col("id") / 6) * high + low
+    number = lambda c: c.cast("double")
+    return spark.range(36).select(F.col("id").alias("cell"), number(x).alias("cminx"), number(y).alias("cminy"), number(x + 10).alias("cmaxx"), number(y + high).alias("cmaxy"))
+
+
+def _in_box(spark, sf_dir, *box):
+    return _features(spark, sf_dir).where(overlaps(*BOX, box))
+
+
+def bbox_filter(spark, sf_dir):
+    return _in_box(spark, sf_dir, *TOUCH).select(*KEYS, *BOX)
+
+
+def bbox_touching(spark, sf_dir):
+    return _in_box(spark, sf_dir, 50, 8, 60, 20).select(*KEYS, *BOX)
+
+
+def bbox_degenerate(spark, sf_dir):
+    return _in_box(spark, sf_dir, 25, 4, 25, 4).select(*KEYS, *BOX)
+
+
+def bbox_project(spark, sf_dir):
+    return _in_box(spark, sf_dir, *TOUCH).select(*dict.fromkeys([*KEYS, "minx", "minx"]))
+
+
+def bbox_project_expr(spark, sf_dir):
+    return _in_box(spark, sf_dir, *TOUCH).selectExpr(*KEYS, "minx * 2 AS minx2")
+
+
+def bbox_limit_sorted(spark, sf_dir):
+    return _in_box(spark, sf_dir, *TOUCH).select(*KEYS, "minx").orderBy(*KEYS).limit(50)
+
+
+def bbox_empty(spark, sf_dir):
+    return _in_box(spark, sf_dir, 1000, 1000, 1001, 1001).select(*KEYS, *BOX)
+
+
+def page_k(spark, sf_dir):
+    return _in_box(spark, sf_dir, *TOUCH).select(*KEYS, "minx").orderBy(*KEYS).offset(100).limit(25)
+
+
+def has_source_counts(spark, sf_dir):
+    tagged = has_source("sources", "OpenStreetMap")
+    return _features(spark, sf_dir).groupBy(tagged.alias("tagged")).agg(F.count("*").alias("n"))
+
+
+def _counted(spark, sf_dir, plan="broadcast"):
+    features = _features(spark, sf_dir).select(*BOX, has_source("sources", "OpenStreetMap").alias("tagged"))
+    counts = cell_counts(features, _cells(spark), 2.0, plan)
+    return counts.withColumnsRenamed({"n": "buildings_count", "n_tagged": "osm_buildings_count"})
+
+
+def cell_counts_all(spark, sf_dir):
+    return _counted(spark, sf_dir).select("cell", "buildings_count")
+
+
+def cell_counts_tagged(spark, sf_dir):
+    return _counted(spark, sf_dir).select("cell", "buildings_count", "osm_buildings_count")
+
+
+def cell_counts_zero(spark, sf_dir):
+    return _counted(spark, sf_dir).where("buildings_count = 0").select("cell", "buildings_count")
+
+
+def cell_counts_tiled(spark, sf_dir):
+    return _counted(spark, sf_dir, "tiled").select("cell", "buildings_count", "osm_buildings_count")
+
+
+def cell_share(spark, sf_dir):
+    return with_share(_counted(spark, sf_dir)).select("cell", "osm_share_pct")
+
+
+def cell_rank(spark, sf_dir):
+    return ranked(with_share(_counted(spark, sf_dir)), "osm_share_pct", "cell").select("cell", "osm_share_pct", "rank")
+
+
+def cell_top10(spark, sf_dir):
+    return smallest(_counted(spark, sf_dir), "buildings_count", "cell").select("cell", "buildings_count", "osm_buildings_count")
+
+
+def _files(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").where("p_partkey % 10 = 3")
+    size = F.col("p_size").cast("double")
+    return part.groupBy("p_brand", "p_type").agg(F.min(size).alias("minx"), F.min("p_retailprice").alias("miny"), F.max(size).alias("maxx"), F.max("p_retailprice").alias("maxy"))
+
+
+def file_index_prune(spark, sf_dir):
+    return _files(spark, sf_dir).where(overlaps(*BOX, (10, 920, 12, 930)))
+
+
+def candidate_file_count(spark, sf_dir):
+    counts = cell_counts(_files(spark, sf_dir).select(*BOX), _cells(spark, 900, 20), plan="broadcast")
+    return counts.select("cell", F.col("n").alias("candidate_file_count"))
+
+
+def eq_filter_sorted(spark, sf_dir):
+    return where_equal(_read(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "c_custkey")
+
+
+def _some_null(spark, sf_dir):
+    value = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", value.alias("v"))
+
+
+def nulls_last_sort(spark, sf_dir):
+    return ranked(_some_null(spark, sf_dir), "v", "c_custkey")
+
+
+def skip_null_geometry(spark, sf_dir):
+    return ranked(_some_null(spark, sf_dir), "c_custkey", name="feature_index").where("v IS NOT NULL")
+
+
+def group_first(spark, sf_dir):
+    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_name").alias("first_name"))
+
+
+def running_total(spark, sf_dir):
+    value = F.col("value").cast("decimal(18,2)")
+    events = _read(spark, sf_dir, "events")
+    return events.select("event_id", running_sum(value, "event_id").cast("double").alias("total"))
+
+
+def json_path(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+def _points(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", st_point(F.col("p_size").cast("double"), "p_retailprice").alias("geometry"))
+
+
+def wkb_point_bbox(spark, sf_dir):
+    box = [F.lit(float(x)) for x in (10, 920, 12, 930)]
+    found = _points(spark, sf_dir).where(st_meets_box("geometry", *box))
+    return found.withColumn("b", st_bounds("geometry")).select("p_partkey", F.col("b.minx").alias("x"), F.col("b.miny").alias("y"))
+
+
+def describe_schema(spark, sf_dir):
+    return describe(_read(spark, sf_dir, "lineitem"))
+
+
+QUERIES = {
+    "bbox_filter": bbox_filter,
+    "bbox_touching": bbox_touching,
+    "bbox_degenerate": bbox_degenerate,
+    "bbox_project": bbox_project,
+    "bbox_project_expr": bbox_project_expr,
+    "bbox_limit_sorted": bbox_limit_sorted,
+    "bbox_empty": bbox_empty,
+    "page_k": page_k,
+    "has_source": has_source_counts,
+    "cell_counts": cell_counts_all,
+    "cell_counts_tagged": cell_counts_tagged,
+    "cell_counts_zero": cell_counts_zero,
+    "cell_counts_tiled": cell_counts_tiled,
+    "cell_share": cell_share,
+    "cell_rank": cell_rank,
+    "cell_top10": cell_top10,
+    "file_index_prune": file_index_prune,
+    "candidate_file_count": candidate_file_count,
+    "eq_filter_sorted": eq_filter_sorted,
+    "nulls_last_sort": nulls_last_sort,
+    "skip_null_geometry": skip_null_geometry,
+    "group_first": group_first,
+    "running_sum": running_total,
+    "json_path": json_path,
+    "wkb_point_bbox": wkb_point_bbox,
+    "describe_schema": describe_schema,
+}
+
+_F = """WITH f AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS minx, l_tax * 100 AS miny,
+         l_quantity + l_discount * 20 AS maxx, l_tax * 100 + l_discount * 10 AS maxy,
+         CASE l_returnflag WHEN 'R' THEN [{'dataset': 'OpenStreetMap'}] WHEN 'A' THEN [{'dataset': 'Other'}] END AS sources
+  FROM lineitem)"""
+_K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_HAS = "coalesce(len(list_filter(sources, lambda x: x.dataset = 'OpenStreetMap')) > 0, false)"
+_CELLS = """c AS (SELECT range AS cell, CAST(range % 6 * 10 AS DOUBLE) AS cx, CAST(range // 6 * {h} + {l} AS DOUBLE) AS cy FROM range(36))"""
+_ON = "maxx >= cx AND cx + 10 >= minx AND maxy >= cy AND cy + {h} >= miny"
+_COUNTS = f"""{_F}, {_CELLS.format(h=2, l=0)},
+n AS (SELECT cell, CAST(count(minx) AS BIGINT) AS buildings_count,
+             CAST(count(*) FILTER (minx IS NOT NULL AND {_HAS}) AS BIGINT) AS osm_buildings_count
+      FROM c LEFT JOIN f ON {_ON.format(h=2)} GROUP BY cell)"""
+_SHARE = f"{_COUNTS}, s AS (SELECT cell, CAST(osm_buildings_count AS DOUBLE) / nullif(CAST(buildings_count AS DOUBLE), 0) * 100 AS osm_share_pct FROM n)"
+_FILES = """files AS (SELECT p_brand, p_type, min(CAST(p_size AS DOUBLE)) AS minx, min(p_retailprice) AS miny,
+                  max(CAST(p_size AS DOUBLE)) AS maxx, max(p_retailprice) AS maxy
+                  FROM part WHERE p_partkey % 10 = 3 GROUP BY p_brand, p_type)"""
+_NULLS = "v AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS v FROM customer)"
+
+
+def _where(minx, miny, maxx, maxy):
+    return f"maxx >= {minx} AND minx <= {maxx} AND maxy >= {miny} AND miny <= {maxy}"
+
+
+ORACLE_SQL = {
+    "bbox_filter": f"{_F} SELECT {_K}, minx, miny, maxx, maxy FROM f WHERE {_where(*TOUCH)}",
+    "bbox_touching": f"{_F} SELECT {_K}, minx, miny, maxx, maxy FROM f WHERE {_where(50, 8, 60, 20)}",
+    "bbox_degenerate": f"{_F} SELECT {_K}, minx, miny, maxx, maxy FROM f WHERE {_where(25, 4, 25, 4)}",
+    "bbox_project": f"{_F} SELECT {_K}, minx FROM f WHERE {_where(*TOUCH)}",
+    "bbox_project_expr": f"{_F} SELECT {_K}, minx * 2 AS minx2 FROM f WHERE {_where(*TOUCH)}",
+    "bbox_limit_sorted": f"{_F} SELECT {_K}, minx FROM f WHERE {_where(*TOUCH)} ORDER BY {_K} LIMIT 50",
+    "bbox_empty": f"{_F} SELECT {_K}, minx, miny, maxx, maxy FROM f WHERE {_where(1000, 1000, 1001, 1001)}",
+    "page_k": f"{_F} SELECT {_K}, minx FROM f WHERE {_where(*TOUCH)} ORDER BY {_K} LIMIT 25 OFFSET 100",
+    "has_source": f"{_F} SELECT {_HAS} AS tagged, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1",
+    "cell_counts": f"{_COUNTS} SELECT cell, buildings_count FROM n",
+    "cell_counts_tagged": f"{_COUNTS} SELECT cell, buildings_count, osm_buildings_count FROM n",
+    "cell_counts_zero": f"{_COUNTS} SELECT cell, buildings_count FROM n WHERE buildings_count = 0",
+    "cell_counts_tiled": f"{_COUNTS} SELECT cell, buildings_count, osm_buildings_count FROM n",
+    "cell_share": f"{_SHARE} SELECT cell, osm_share_pct FROM s",
+    "cell_rank": f"{_SHARE} SELECT cell, osm_share_pct, CAST(row_number() OVER (ORDER BY osm_share_pct NULLS LAST, cell) - 1 AS BIGINT) AS rank FROM s",
+    "cell_top10": f"{_COUNTS} SELECT cell, buildings_count, osm_buildings_count FROM n ORDER BY buildings_count NULLS LAST, cell LIMIT 10",
+    "file_index_prune": f"WITH {_FILES} SELECT * FROM files WHERE {_where(10, 920, 12, 930)}",
+    "candidate_file_count": f"WITH {_FILES}, {_CELLS.format(h=20, l=900)} SELECT cell, CAST(count(minx) AS BIGINT) AS candidate_file_count FROM c LEFT JOIN files ON {_ON.format(h=20)} GROUP BY cell",
+    "eq_filter_sorted": "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey",
+    "nulls_last_sort": f"WITH {_NULLS} SELECT c_custkey, v, CAST(row_number() OVER (ORDER BY v NULLS LAST, c_custkey) - 1 AS BIGINT) AS rank FROM v",
+    "skip_null_geometry": f"WITH {_NULLS}, r AS (SELECT c_custkey, v, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS feature_index FROM v) SELECT * FROM r WHERE v IS NOT NULL",
+    "group_first": "SELECT p_brand, CAST(count(*) AS BIGINT) AS n, min(p_name) AS first_name FROM part GROUP BY p_brand",
+    "running_sum": "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM events",
+    "json_path": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    "wkb_point_bbox": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice BETWEEN 920 AND 930",
+}
