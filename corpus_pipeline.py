@@ -48,7 +48,7 @@ def packing(spark, docs, sf_dir):
     """The pieces of all documents in sequences of 2048 tokens, ids as checksums."""
     import public_tokenizers
 
-    rows = crc32_of_ids(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    rows = crc32_of_ids(pack(docs, public_tokenizers.path("word_bpe_49k.json"), recent=200_000))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -31,7 +31,7 @@ class WordTokens:
     word by word, with a table of recent words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = RECENT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +41,7 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.recent: dict[str, bytes] = {"": b""}
+        self.most = most
         self.letter = {chr(b): x for b, x in enumerate(byte_letters())}
         self.ends = {c: packed(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
 
@@ -60,7 +61,7 @@ class WordTokens:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; a null text has none."""
         parts = [x.replace("\n", " ").split(" ") if x else [""] for x in texts]
-        if len(self.recent) > RECENT:
+        if len(self.recent) > self.most:
             self.recent = {"": b""}
         recent, rest = self.recent, []
         for word in set().union(*parts).difference(recent):
@@ -179,14 +180,15 @@ class Packer:
                 yield part
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", recent: int = RECENT) -> DataFrame:
     """The pieces of all documents, each in its place in a sequence of at most size tokens.
 
     A document is its ids and then the id end; a null text has no ids of its own. What
     exceeds whole sequences is placed by the sum-of-squares rule within its task, without
     any shuffle; what is left open at a task's end is cut so that every sequence is full or
     a power of two long. Rows with equal or null ids are packed like any others. Columns:
-    doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    doc_id, start, length, ids, doc_tokens, sequence_id, offset. recent bounds a worker's
+    table of recent words (about 200 bytes each).
     """
     out = T.StructType(
         [
@@ -200,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, doc_id
         import numpy as np
         import pyarrow as pa
 
-        tokens = worker_state(("word", tokenizer), lambda: WordTokens(tokenizer))
+        tokens = worker_state(("word", tokenizer, recent), lambda: WordTokens(tokenizer, recent))
         packer, last = Packer(size), struct.pack("<I", end)
         sequence, rows, held = TaskContext.get().partitionId() << 32, [], 0
         id_type = None
