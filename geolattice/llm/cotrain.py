@@ -64,7 +64,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x, y, start=None, penalty: float = 2e-4, steps: int = 120):
+def fit(x, y, start=None, penalty: float = 2e-5, steps: int = 250):
     """Weights of a logistic regression, the last the constant, by accelerated gradient steps; classes weigh alike."""
     import numpy as np
 
