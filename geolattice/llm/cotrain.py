@@ -1,6 +1,7 @@
 """Quality and toxicity by co-training of two views.
 
-One classifier sees a text's words, the other its metadata (source, language, length).
+One classifier sees a text's words and their beginnings, as far as they tell the classes
+apart, and its shape; the other its metadata (source, language, length).
 Both start from labelled rows; in each round each names the unlabelled rows it is surest
 of, and these join the other's training rows. Each view is then calibrated on rows held
 out, the two are combined there, and all documents are scored.
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, META = 4_096, 256
+#: Places of words and their beginnings, of a text's shape, and of metadata; columns that a text classifier is fitted to.
+PLACES, SHAPE, META, COLUMNS = 1 << 18, 8, 256, 4_096
 #: Bounds of the fit: labelled and unlabelled rows that reach the driver, by order of a hash of their ids.
 LABELLED, UNLABELLED = 4_000, 1_500
 ROUNDS = 4
@@ -28,29 +32,34 @@ class Features:
     def __init__(self):
         class Places(dict):
             def __missing__(self, word):
-                bare = word.strip(".,;:!?\"'()")
-                if len(self) >= 300_000:
+                bare = word.strip(".,;:!?\"'()") or word
+                if len(self) >= 200_000:
                     self.clear()
-                out = self[word] = zlib.crc32((bare or word).encode()) % (WORDS - 8)
+                # marked beginnings let words that were never labelled count by what they are made of
+                keys = [bare, *("^" + bare[:k] for k in (3, 4, 5) if len(bare) > k)]
+                out = self[word] = [zlib.crc32(k.encode()) % PLACES for k in keys]
                 return out
 
         self.places = Places()
 
     def text(self, text: str | None):
-        """Places and values, of length 1, of log word counts; the last eight places are shape."""
+        """Places and values, of length 1, of log counts of words and beginnings; then what the text's shape adds."""
         import numpy as np
 
         words = text.lower().split() if text else []
         n = len(words)
         if not n:
-            return np.array([WORDS - 1]), np.array([1.0])
-        counts = np.bincount(np.fromiter(map(self.places.__getitem__, words), np.int64, n), minlength=WORDS)
-        at = np.flatnonzero(counts)
-        values = np.log1p(counts[at])
+            return np.array([PLACES + SHAPE - 1]), np.array([1.0])
+        counts = Counter(words)
+        found = [self.places[w] for w in counts]
+        each = np.fromiter(map(len, found), np.int64, len(found))
+        at, of = np.unique(np.fromiter(chain.from_iterable(found), np.int64, each.sum()), return_inverse=True)
+        times = np.repeat(np.fromiter(counts.values(), np.int64, len(found)), each)
+        values = np.log1p(np.bincount(of, weights=times))
         values /= math.sqrt(float(values @ values))
         marks = sum(text.count(c) for c in "#*$%&|<>")
-        shape = [min(1.0, marks / n), min(1.0, len(text) / n / 16), len(set(words)) / n, min(1.0, math.log1p(n) / 10)]
-        return np.concatenate([at, WORDS - 8 + np.arange(4)]), np.concatenate([values, shape])
+        shape = [min(1.0, marks / n), min(1.0, len(text) / n / 16), len(counts) / n, min(1.0, math.log1p(n) / 10)]
+        return np.concatenate([at, PLACES + np.arange(4)]), np.concatenate([values, shape])
 
     def meta(self, source, lang, n_chars):
         """Places of the source, the language and the length's power of two."""
@@ -83,6 +92,28 @@ def fit(x, y, start=None, penalty: float = 2e-5, steps: int = 250):
     return w
 
 
+def held_out(n: int):
+    """Which of n labelled rows serve calibration alone: every fifth."""
+    import numpy as np
+
+    return np.arange(n) % 5 == 4
+
+
+def telling(places: list, labels: list):
+    """The COLUMNS places that tell the classes apart best by a chi-square test of presence, and those of shape, in order."""
+    import numpy as np
+
+    n, ones = len(labels), float(sum(labels))
+    present = np.zeros((2, PLACES + SHAPE))
+    for at, label in zip(places, labels):
+        present[int(label), at] += 1
+    total = present.sum(axis=0)
+    apart = present[1] * (n - ones - present[0]) - present[0] * (ones - present[1])
+    chi = n * apart**2 / np.maximum(1, ones * (n - ones) * total * (n - total))
+    best = np.argsort(-chi[:PLACES], kind="stable")[: COLUMNS - SHAPE]
+    return np.concatenate([np.sort(best), PLACES + np.arange(SHAPE)])
+
+
 def cotrain(text, meta, y, text_pool, meta_pool, rounds: int = ROUNDS):
     """The weights of both views and of their combination (text, meta, constant) for labels y of 0 and 1.
 
@@ -94,7 +125,7 @@ def cotrain(text, meta, y, text_pool, meta_pool, rounds: int = ROUNDS):
     if not len(y) or y.min() == y.max():
         bias = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return np.zeros(text.shape[1] + 1, np.float32), np.zeros(meta.shape[1] + 1, np.float32), np.array([0.0, 0.0, bias])
-    held = np.arange(len(y)) % 5 == 4
+    held = held_out(len(y))
     views = [(text, text_pool), (meta, meta_pool)]
     extra = [(np.zeros(0, int), np.zeros(0))] * 2  # pool rows and labels that a view was given
     weights = [None, None]
@@ -171,22 +202,33 @@ def train(docs: DataFrame, labels: DataFrame, targets=("quality", "toxic"), labe
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 made = [(d, *features.text(t), features.meta(*m)) for d, t, *m in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns))]
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), *(pa.array([m[j].astype("<f4" if j == 2 else "<u2").tobytes() for m in made], pa.binary()) for j in (1, 2)), pa.array([m[3] for m in made], pa.list_(pa.int32()))], ["doc_id", "at", "value", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), *(pa.array([m[j].astype("<f4" if j == 2 else "<u4").tobytes() for m in made], pa.binary()) for j in (1, 2)), pa.array([m[3] for m in made], pa.list_(pa.int32()))], ["doc_id", "at", "value", "meta"])
 
     found = {r.doc_id: r for r in rows.mapInArrow(run, "doc_id long, at binary, value binary, meta array<int>").collect()}
 
-    def matrices(keys):
-        text, meta = np.zeros((len(keys), WORDS), np.float32), np.zeros((len(keys), META), np.float32)
+    def matrices(keys, columns):
+        column = np.full(PLACES + SHAPE, -1)
+        column[columns] = np.arange(len(columns))
+        text, meta = np.zeros((len(keys), len(columns)), np.float32), np.zeros((len(keys), META), np.float32)
         for i, key in enumerate(keys):
             r = found[key]
-            text[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
+            to = column[np.frombuffer(r["at"], "<u4")]
+            text[i, to[to >= 0]] = np.frombuffer(r["value"], "<f4")[to >= 0]
             meta[i, r["meta"]] = 1
         return text, meta
 
     first = sorted(k for k, v in wanted.items() if v is not None and k in found)
     pool = sorted(k for k, v in wanted.items() if v is None and k in found)
-    (text, meta), (text_pool, meta_pool) = matrices(first), matrices(pool)
-    return {t: cotrain(text, meta, np.array([wanted[k][j] for k in first], np.float64), text_pool, meta_pool) for j, t in enumerate(targets)}
+    seen = [k for k, h in zip(first, held_out(len(first))) if not h]
+    models = {}
+    for j, t in enumerate(targets):
+        columns = telling([np.frombuffer(found[k]["at"], "<u4") for k in seen], [wanted[k][j] for k in seen])
+        (text, meta), (text_pool, meta_pool) = matrices(first, columns), matrices(pool, columns)
+        weights, *others = cotrain(text, meta, np.array([wanted[k][j] for k in first], np.float64), text_pool, meta_pool)
+        whole = np.zeros(PLACES + SHAPE + 1, np.float32)
+        whole[columns], whole[-1] = weights[:-1], weights[-1]
+        models[t] = (whole, *others)
+    return models
 
 
 def score(docs: DataFrame, models: dict) -> DataFrame:

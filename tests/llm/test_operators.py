@@ -350,6 +350,25 @@ def test_cotraining_is_right_on_rows_held_out(spark):
     assert cotrain.score(df, empty).count() == 602
 
 
+def test_words_never_labelled_count_by_their_beginnings():
+    r = random.Random(11)
+    features = cotrain.Features()
+    made = lambda i, ends: features.text(prose(i, 200) + "".join(f" vequ{r.choice(ends)}" for _ in range(3)) * (i % 2))
+    rows = [made(i, ["er", "ait", "on"]) for i in range(200)] + [made(i, ["ille", "tum", "q"]) for i in range(200, 300)]
+    labels = [i % 2 for i in range(300)]
+    columns = cotrain.telling([at for at, _ in rows[:200]], labels[:200])
+    assert len(columns) == cotrain.COLUMNS == len(set(columns.tolist()))
+    x = np.zeros((300, cotrain.PLACES + cotrain.SHAPE), np.float32)
+    for i, (at, value) in enumerate(rows):
+        assert abs(np.square(value[:-4]).sum() - 1) < 1e-6
+        x[i, at] = value
+    x = x[:, columns]
+    w = cotrain.fit(x[:200], np.array(labels[:200], np.float32))
+    assert ((x[200:] @ w[:-1] + w[-1] > 0) == np.array(labels[200:], bool)).mean() > 0.98
+    for empty in (None, "", " \n"):
+        assert [a.tolist() for a in features.text(empty)] == [[cotrain.PLACES + cotrain.SHAPE - 1], [1.0]]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
