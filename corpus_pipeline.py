@@ -36,10 +36,10 @@ def line_dedup(spark, docs, sf_dir):
 def simhash_dedup(spark, docs, sf_dir):
     """Of documents that are near copies by five-word shingles, the one with the smallest id stays.
 
-    Six differing bits of 64 are what texts with a similarity of 0.9 have in the mean; at 0.8 it
-    would be ten, where texts that have nothing in common begin to meet by chance.
+    Up to eight of 64 bits may differ, and sketches must then put the similarity at 0.8 or more,
+    as so many bits also link texts that have little in common.
     """
-    return one_of_each(docs.select(*COLUMNS), words=5, limit=6)
+    return one_of_each(docs.select(*COLUMNS), words=5, limit=8, least=0.8, agree=2)
 
 
 def suffix_dedup(spark, docs, sf_dir):

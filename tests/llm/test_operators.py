@@ -238,6 +238,35 @@ def test_simhash_equals_brute_force(docs, odd, none):
     assert simhash.one_of_each(odd).count() == 5 and simhash.one_of_each(docs, words=4).count() == len(set(expected.values()))
 
 
+def test_sketches_part_what_only_bits_link(spark, none):
+    r = random.Random(21)
+    base = [prose(200 + k, 150).split() for k in range(12)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in r.sample(range(len(out)), n):
+            out[i] = f"other{r.randrange(10**6)}"
+        return " ".join(out)
+
+    made = [edited(w, n) for w in base for n in (0, 1, 3, 6, 25)] + ["", None, " ".join(base[0])]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(made)], SCHEMA)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").lower().split() for t in made)]
+    fps = [fingerprint(t, 5) for t in made]
+    sketches = {x.doc_id: np.frombuffer(x.sketch, np.uint8)[None] for x in simhash.fingerprints(rows, 5, sketch=True).collect()}
+    for a in range(60):
+        for b in range(a):
+            truth = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert abs(float(simhash.alike(sketches[a], sketches[b])[0]) - truth) < 0.25
+    assert simhash.alike(sketches[60], sketches[61])[0] == 1 and simhash.alike(sketches[60], sketches[0])[0] == 0
+    node = {fp: min(i for i, x in enumerate(fps) if x == fp) for fp in fps}
+    linked = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 10 and simhash.alike(sketches[node[fps[a]]], sketches[node[fps[b]]])[0] >= 0.8
+    expected = brute_components(range(len(made)), linked)
+    for agree in (1, 2):
+        assert {x.doc_id: x.component for x in simhash.near_copies(rows, 5, 10, least=0.8, agree=agree).collect()} == expected
+    assert expected[1] == 0 and expected[4] == 4 and expected[62] == 0 and expected[61] == 60
+    assert simhash.near_copies(none, least=0.8).count() == 0
+
+
 def test_links_split_hot_values_and_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(5)
     near = [int(rng.integers(1 << 62)) for _ in range(3)]
@@ -377,7 +406,10 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs, tmp_path):
     source = base.where(base.doc_id.isin(kept.doc_id.tolist()))
     cut = oracle(lines.OP6_SQL, source).set_index("doc_id").text
     fps = {d: fingerprint(x, 5) for d, x in cut.items()}
-    roots = brute_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 6)
+    grams = {d: [x.lower().split()[i : i + 5] for i in range(max(1, len(x.split()) - 4))] for d, x in cut.items()}
+    sets = {d: {" ".join(g) for g in x} for d, x in grams.items()}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    roots = brute_components(sorted(fps), near)
     left = sorted(d for d, r in roots.items() if d == r)
     t = tokenizer(WORDS)
     rest = {d: x[3].decode("utf-8", "ignore") for d, x in zip(left, repeats([cut[d] for d in left]))}
