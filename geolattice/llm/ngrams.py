@@ -171,8 +171,8 @@ def scores(docs: DataFrame, tokenizer: str, least: int = 2, doc_id: str = "doc_i
 
 
 def op5_lm_scores(spark, sf_dir: str) -> DataFrame:
-    """Score of every document by the counts of all documents."""
+    """Score of every document by the counts of all documents; every counted pair counts, those found once too."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scores(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return scores(docs, public_tokenizers.path("word_bpe_49k.json"), least=1)

@@ -340,6 +340,24 @@ def test_scores_equal_brute_force(docs, none):
     assert ngrams.scores(none, WORDS).count() == 0
 
 
+def test_op5_scores_pairs_found_once_by_their_counts(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    t = tokenizer(WORDS)
+    ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    single = Counter(i for x in ids.values() for i in x)
+    pairs = Counter(p for x in ids.values() for p in zip(x, x[1:]))
+    total = sum(single.values())
+    assert 1 in pairs.values()
+    for head in (0, 262_144):
+        ngrams.HEAD, before = head, ngrams.HEAD
+        rows = {r.doc_id: r for r in ngrams.op5_lm_scores(spark, str(tmp_path)).collect()}
+        ngrams.HEAD = before
+        for doc, x in ids.items():
+            s = math.log(single[x[0]] / total) if x else 0
+            s += sum(math.log(pairs[p] / single[p[0]]) for p in zip(x, x[1:]) if pairs[p] > 0)
+            assert rows[doc].n_tokens == len(x) and abs(rows[doc].log_score - s) <= 1e-5 * max(1, len(x))
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 20)).astype("f4")
