@@ -12,7 +12,7 @@ from geolattice.llm.common import shared_dir
 from geolattice.llm.lines import drop_repeated_lines
 from geolattice.llm.packing import crc32_of_ids, pack
 from geolattice.llm.quality import keep_good
-from geolattice.llm.simhash import one_of_each
+from geolattice.llm.shingles import one_of_each
 from geolattice.llm.substrings import drop_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,10 +36,9 @@ def line_dedup(spark, docs, sf_dir):
 def simhash_dedup(spark, docs, sf_dir):
     """Of documents that are near copies by five-word shingles, the one with the smallest id stays.
 
-    Up to eight of 64 bits may differ, and sketches must then put the similarity at 0.8 or more,
-    as so many bits also link texts that have little in common.
+    Sketches propose the pairs; a similarity of the shingle sets of 0.8 or more links them.
     """
-    return one_of_each(docs.select(*COLUMNS), words=5, limit=8, least=0.8, agree=2)
+    return one_of_each(docs.select(*COLUMNS), words=5, least=0.8)
 
 
 def suffix_dedup(spark, docs, sf_dir):

@@ -440,5 +440,25 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs, tmp_path):
     assert {d: sorted(p) for d, p in pieces.items()} == {d: list(range(len(x))) for d, x in ids.items()}
 
 
+def test_pipeline_drops_every_near_copy_by_exact_similarity(spark, none):
+    r = random.Random(33)
+    made = []
+    for k in range(30):
+        base = [f"v{r.randrange(3000)}" for _ in range(120 if k % 3 else 24)]
+        made.append(" ".join(base))
+        for n in (1, 2, 3, 4) if k % 3 else (1, 2):
+            out = list(base)
+            for _ in range(n):
+                out[r.randrange(3) if k % 3 == 0 else r.randrange(len(out))] = f"other{r.randrange(10**6)}"
+            made.append(" ".join(out))
+    made += ["", None, "one", "one", made[0]]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(made)] + [(None, made[0], None, None, None)], SCHEMA)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in made)]
+    roots = brute_components(range(len(made)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    left = [x.doc_id for x in corpus_pipeline.simhash_dedup(spark, rows, None).collect()]
+    assert sorted(x for x in left if x is not None) == sorted(set(roots.values())) and left.count(None) == 1
+    assert corpus_pipeline.simhash_dedup(spark, none, None).count() == 0
+
+
 def test_registry_names_an_operator_for_each_number():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
