@@ -73,17 +73,43 @@ RULES = [
 #: A licence gives way to one whose rule contains its own.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Every known sentence has one of these, so texts without them are not cut up.
-SIGNS = ["licens", "permission", "redistribut", "warrant", "public domain"]
+SIGNS = ["licens", "permission", "redistribut", "warrant", "public domain", "unencumbered"]
+
+#: What parts sentences for good, and what may part them or only wrap.
+HARD, SOFT = "\x01", "|"
+#: Blanks and comment marks at the start of a line.
+MARKS = r"[ \t*#/;%!>-]*"
+STEPS = [
+    (r"(?i)\bv\.[ \n]+(?=\d)", "v "),
+    (rf"\n{MARKS}\n(?:{MARKS}\n)*{MARKS}(?=https?://)", SOFT),
+    (rf"\n(?:{MARKS}\n)+", HARD),
+    (r"(?<=[.!?])[ \n]+", HARD),
+    (r"(?<=[;:])[ \n]+", SOFT),
+    (r"\n(?=[a-z])", " "),
+    (rf"\n{MARKS}", SOFT),
+]
+#: After lowering: other characters go, then what is not a word's at the edges of a piece.
+BARE = [(r"[^a-z0-9.+|\x01-]+", " "), (r"[ .+-]*\|[ .+|-]*", SOFT), (r"[ .+|-]*\x01[ .+|\x01-]*", HARD)]
+
 
-WRAP, END, OTHER = r"\n(?=[a-z])", r"(?<=[.;:!?])[ \n]+|\n+", r"[^a-z0-9.+-]+"
-EDGE = r"^[ .+-]+|[ .+-]+$"
+def pieces(text):
+    """The normalised text, with HARD where a sentence ends for good (final punctuation, a blank line) and SOFT at colons, semicolons and other line ends.
+
+    A line end before a small letter only wraps, as before any other line a known sentence may go on.
+    """
+    out = F.translate(text, SOFT + HARD + "\r", "   ")
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.concat(F.lit(HARD), F.lower(out), F.lit(HARD))
+    for pattern, by in BARE:
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
 
-def sentences(text):
-    """The normalised sentences of a text: line ends before a small letter only wrap, other line ends and final punctuation part."""
-    whole = F.lower(F.regexp_replace(text, WRAP, " "))
-    bare = lambda x: F.regexp_replace(F.regexp_replace(x, OTHER, " "), EDGE, "")
-    return F.transform(F.split(whole, END), bare)
+def _pattern() -> str:
+    """Any known sentence, the longest first, from one edge of a piece to another; soft edges may lie within."""
+    quoted = [s.replace(".", r"\.").replace("+", r"\+").replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True)]
+    return rf"(?<=[|\x01])(?:{'|'.join(quoted)})(?=[|\x01])"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -98,8 +124,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     any_sign = signs[0]
     for s in signs[1:]:
         any_sign = any_sign | s
-    likely = lambda s: F.rlike(s, F.lit("|".join(SIGNS)))
-    ids = F.transform(F.filter(sentences(F.col(text)), likely), lambda s: F.try_element_at(known, s))
+    whole = F.regexp_extract_all(pieces(F.col(text)), F.lit(_pattern()), F.lit(0))
+    ids = F.transform(whole, lambda x: F.try_element_at(known, F.translate(x, SOFT, " ")))
     found = F.when(any_sign, F.array_join(F.filter(ids, lambda i: i.isNotNull()), ">")).otherwise("")
     out = docs.withColumn("sentence_ids", F.coalesce(found, F.lit("")))
 

@@ -203,6 +203,23 @@ def test_licences_are_matched_in_order(spark):
     assert {r.doc_id: r.licenses for r in licenses.scan(df).collect()} == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "", 4: "Apache-2.0,MIT"}
 
 
+def test_licences_in_their_usual_layout(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL'
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    known = {"GPL-3.0-or-later": gpl, "MIT": mit, "Apache-2.0": apache, "MPL-2.0": mpl, "BSD-3-Clause": bsd, "ISC": isc}
+    shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n")] + [lambda t, m=m: "\n".join(m + x for x in t.split("\n")) for m in ("    ", "# ", " * ", "// ")]
+    rows = [(f"{name} {k}", shape(t)) for name, t in known.items() for k, shape in enumerate(shapes)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {d: r.licenses for d, r in got.items()} == {d: d.split()[0] for d, _ in rows}
+    assert all("apache-copy" in r.sentence_ids for d, r in got.items() if d.startswith("Apache"))
+    apart = spark.createDataFrame([(1, mpl.replace("Public\n", "Public\n\n"))], "doc_id long, text string")
+    assert licenses.scan(apart).first().licenses == ""
+
+
 def fingerprint(text, words):
     parts = (text or "").encode().lower().split()
     if not parts:
