@@ -9,7 +9,8 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,26 +130,140 @@ def _covers(rings, x, y) -> bool:
     return inside
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy")]))
-def st_bounds(wkb: pd.Series) -> pd.DataFrame:
+class Batch:
+    """A binary Arrow array of geometries. Points and polygons of one ring, little-endian and flat, are read by whole columns.
+
+    points and areas are places of rows; xy are their coordinates, areas' one after the
+    other; first says where an area's begin, at where each coordinate pair lies in the data.
+    rest are the places of other geometries, and null rows are in none.
+    """
+
+    def __init__(self, array):
+        self.array = array
+        wide = pa.types.is_large_binary(array.type)
+        _, offsets, data = array.buffers()
+        offsets = np.frombuffer(offsets, "i8" if wide else "i4")[array.offset : array.offset + len(array) + 1].astype(np.int64)
+        self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        start, size = offsets[:-1], np.diff(offsets)
+        valid = array.is_valid().to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(valid & (size >= 21))
+        order, code = self.data[start[some]], self._read(start[some] + 1, "<u4")
+        is_point = (order == 1) & (code == 1) & (size[some] == 21)
+        maybe = some[(order == 1) & (code == 3)]
+        rings, n = self._read(start[maybe] + 5, "<u4"), self._read(start[maybe] + 9, "<u4").astype(np.int64)
+        one = (rings == 1) & (n > 0) & (size[maybe] == 13 + 16 * n)
+        self.points, self.areas, n = some[is_point], maybe[one], n[one]
+        self.point_at, self.first = start[self.points] + 5, np.cumsum(n) - n
+        self.area_at = np.repeat(start[self.areas] + 13 - 16 * self.first, n) + 16 * np.arange(n.sum())
+        known = ~valid
+        known[self.points] = known[self.areas] = True
+        self.rest = np.flatnonzero(~known)
+
+    def _read(self, at, kind):
+        width = np.dtype(kind).itemsize
+        return np.ascontiguousarray(self.data[at[:, None] + np.arange(width)]).view(kind).reshape(-1)
+
+    def xy(self, at):
+        """The coordinate pairs that begin at these bytes."""
+        return np.ascontiguousarray(self.data[at[:, None] + np.arange(16)]).view("<f8").reshape(-1, 2)
+
+    def bounds(self):
+        """An n x 4 array of minx, miny, maxx, maxy; NaN for null and empty geometries."""
+        out = np.full((len(self.array), 4), np.nan)
+        p = self.xy(self.point_at)
+        p[np.isnan(p).any(axis=1)] = np.nan
+        out[self.points] = np.hstack([p, p])
+        if len(self.areas):
+            xy = self.xy(self.area_at)
+            out[self.areas] = np.hstack([np.minimum.reduceat(xy, self.first), np.maximum.reduceat(xy, self.first)])
+        for i in self.rest:
+            out[i] = bounds_of(self.array[int(i)].as_py()) or np.nan
+        return out
+
+    def meets(self, box):
+        """Which geometries share a point with the closed rectangles in the n x 4 array box."""
+        out = np.zeros(len(self.array), bool)
+        inside = lambda xy, b: (xy[:, 0] >= b[:, 0]) & (xy[:, 0] <= b[:, 2]) & (xy[:, 1] >= b[:, 1]) & (xy[:, 1] <= b[:, 3])
+        out[self.points] = inside(self.xy(self.point_at), box[self.points])
+        left = self.rest
+        if len(self.areas):
+            xy, mine = self.xy(self.area_at), box[self.areas]
+            low, high = np.minimum.reduceat(xy, self.first), np.maximum.reduceat(xy, self.first)
+            apart = (high[:, 0] < mine[:, 0]) | (low[:, 0] > mine[:, 2]) | (high[:, 1] < mine[:, 1]) | (low[:, 1] > mine[:, 3])
+            sizes = np.diff(np.append(self.first, len(xy)))
+            corner = np.logical_or.reduceat(inside(xy, np.repeat(mine, sizes, axis=0)), self.first)
+            out[self.areas] = corner
+            # neither apart nor with a corner inside: edges may cross the rectangle, or the polygon hold it
+            left = np.concatenate([left, self.areas[~apart & ~corner]])
+        for i in left:
+            out[i] = meets_box(self.array[int(i)].as_py(), *box[i])
+        return out
+
+    def moved(self, move):
+        """The array with x, y = move(x, y) for all coordinate pairs of points and areas, and the places of others, which are as they were."""
+        data = self.data.copy()
+        for at in (self.point_at, self.area_at):
+            if len(at):
+                xy = self.xy(at)
+                new = np.ascontiguousarray(np.stack(move(xy[:, 0], xy[:, 1]), axis=1), "<f8")
+                data[at[:, None] + np.arange(16)] = new.view(np.uint8).reshape(-1, 16)
+        validity, offsets, _ = self.array.buffers()
+        return pa.Array.from_buffers(self.array.type, len(self.array), [validity, offsets, pa.py_buffer(data)], offset=self.array.offset), self.rest
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy")]))
+def st_bounds(wkb: pa.Array) -> pa.Array:
     """Bounds of each geometry; four nulls for null and empty ones."""
-    rows = [bounds_of(x) or (None,) * 4 for x in wkb]
-    return pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy"], dtype="float64")
+    bounds = Batch(wkb).bounds()
+    return pa.StructArray.from_arrays([pa.array(bounds[:, k], from_pandas=True) for k in range(4)], ["minx", "miny", "maxx", "maxy"])
 
 
-@F.pandas_udf(T.BooleanType())
-def st_is_empty(wkb: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def st_is_empty(wkb: pa.Array) -> pa.Array:
     """True for empty geometries, null for null."""
-    return pd.Series([None if x is None else not parts(x) for x in wkb], dtype="object")
+    empty = np.isnan(Batch(wkb).bounds()[:, 0])
+    return pa.array(empty, mask=wkb.is_null().to_numpy(zero_copy_only=False))
 
 
-@F.pandas_udf(T.BooleanType())
-def st_meets_box(wkb: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def st_meets_box(wkb: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
     """Exact test against a closed rectangle."""
-    return pd.Series([meets_box(*row) for row in zip(wkb, minx, miny, maxx, maxy)], dtype="bool")
+    box = np.stack([x.to_numpy(zero_copy_only=False).astype(float) for x in (minx, miny, maxx, maxy)], axis=1)
+    return pa.array(Batch(wkb).meets(box))
+
+
+def _records(columns, kind) -> pa.Array:
+    """One binary value of a numpy record type for each row."""
+    out = np.empty(len(columns[0]), kind)
+    for name, values in zip(kind.names, columns):
+        out[name] = values
+    size = kind.itemsize
+    offsets = pa.py_buffer(np.arange(0, size * (len(out) + 1), size, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(out), [None, offsets, pa.py_buffer(out.tobytes())])
+
+
+def _without_nulls(wkb: pa.Array, inputs) -> pa.Array:
+    nulls = np.zeros(len(wkb), bool)
+    for x in inputs:
+        nulls |= x.is_null().to_numpy(zero_copy_only=False)
+    if not nulls.any():
+        return wkb
+    return pa.compute.if_else(pa.array(~nulls), wkb, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(T.BinaryType())
+def st_point(x: pa.Array, y: pa.Array) -> pa.Array:
+    """A little-endian point from two doubles; null if one is."""
+    n, kind = len(x), np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")])
+    a, b = (v.to_numpy(zero_copy_only=False) for v in (x, y))
+    return _without_nulls(_records([np.ones(n), np.ones(n), a, b], kind), (x, y))
 
 
-@F.pandas_udf(T.BinaryType())
-def st_point(x: pd.Series, y: pd.Series) -> pd.Series:
-    """A little-endian point from two doubles."""
-    return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y)], dtype="object")
+@F.arrow_udf(T.BinaryType())
+def st_rectangle(minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
+    """A little-endian polygon of one ring from four doubles; null if one is."""
+    a, b, c, d = (v.to_numpy(zero_copy_only=False) for v in (minx, miny, maxx, maxy))
+    one = np.ones(len(a))
+    ring = [a, b, c, b, c, d, a, d, a, b]
+    kind = np.dtype([("order", "u1"), ("code", "<u4"), ("rings", "<u4"), ("n", "<u4"), *((f"v{k}", "<f8") for k in range(10))])
+    return _without_nulls(_records([one, one * 3, one, one * 5, *ring], kind), (minx, miny, maxx, maxy))

@@ -7,19 +7,23 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.geoparquet import files_by_directory, footer
+from ..sources import geoparquet
+from ..sources.geoparquet import directory_label, footer, list_files
 
 
-def directories(spark: SparkSession, base: str) -> DataFrame:
-    """directory, n_files, first_file."""
-    rows = [(d, len(f), str(f[0])) for d, f in files_by_directory(base).items()]
-    return spark.createDataFrame(rows, "directory string, n_files long, first_file string")
+def directories(spark: SparkSession, base) -> DataFrame:
+    """directory, n_files, first_file, in order; none at all is an error."""
+    paths = list_files(spark, base)
+    if not paths:
+        raise FileNotFoundError(f"No Parquet files below {base}")
+    rows = spark.createDataFrame([(directory_label(spark, p, base), p) for p in paths], "directory string, path string")
+    return rows.groupBy("directory").agg(F.count("*").alias("n_files"), F.min("path").alias("first_file")).orderBy("directory")
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """column_name, column_type, null: the schema as rows."""
-    rows = [(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO") for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, `null` string")
+    """column_name, column_type, null, key, default, extra: the schema as rows; types as Spark spells them, the last three always null."""
+    rows = [(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", None, None, None) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, `null` string, key string, `default` string, extra string")
 
 
 def sample(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
@@ -27,9 +31,14 @@ def sample(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
     return spark.sql("SELECT * FROM parquet.`" + str(path).replace("`", "``") + "` LIMIT :n", args={"n": n})
 
 
-def geo_text(path: str) -> str:
+def values(df: DataFrame, column: str, n: int = 5) -> list:
+    """(place, value) of a column in any n rows."""
+    return list(enumerate(r[0] for r in df.select(F.col(f"`{column}`")).limit(n).collect()))
+
+
+def geo_text(spark: SparkSession, path) -> str:
     """The geo footer, indented; a message where it is absent or no JSON."""
-    text = footer(path, errors="replace").get("geo")
+    text = footer(spark, path).get("geo")
     if text is None:
         return "no geo footer"
     try:
@@ -49,3 +58,13 @@ def write_csv(df: DataFrame, path: str) -> bool:
         return False
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return True
+
+
+def export(df: DataFrame, path: str, geometry: str | None = None) -> bool:
+    """df as Parquet in directory path, in place of what is there, with a geo footer if geometry names a column; nothing for an empty df."""
+    if geometry is not None:
+        return geoparquet.write(df, path, geometry, "overwrite")
+    if df.isEmpty():
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Records that one task reads.
+RECORDS = 50_000
 
 
 def _fields(data: bytes):
@@ -28,8 +32,8 @@ def _type(kind, size, decimals):
     return T.BooleanType() if kind == "L" else T.StringType()
 
 
-def _value(raw: bytes, kind: str, spark_type):
-    text = raw.decode("utf-8", "replace").strip(" \0")
+def _value(raw: bytes, spark_type, encoding: str):
+    text = raw.decode(encoding, "replace").strip(" \0")
     if not text or set(text) == {"*"}:
         return None
     if isinstance(spark_type, T.BooleanType):
@@ -43,11 +47,20 @@ def _ring_area(points) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:])) / 2
 
 
+def _holds(ring, point) -> bool:
+    """Whether a ring goes around a point, by the even-odd rule."""
+    x, y = point
+    crossed = [a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) > x for a, b in zip(ring, ring[1:]) if (a[1] > y) != (b[1] > y)]
+    return sum(crossed) % 2 == 1
+
+
 def _wkb(record: bytes) -> bytes | None:
     """Little-endian WKB of one shape; Z and M are left out. Outer rings run clockwise in shapefiles."""
     (kind,) = struct.unpack_from("<i", record)
-    base = kind % 10
-    if kind == 0:
+    base = {0: 0, 1: 1, 11: 1, 21: 1, 3: 3, 13: 3, 23: 3, 5: 5, 15: 5, 25: 5, 8: 8, 18: 8, 28: 8}.get(kind)
+    if base is None:
+        raise ValueError(f"shape type {kind} is not supported")
+    if base == 0:
         return None
     if base == 1:
         return struct.pack("<BIdd", 1, 1, *struct.unpack_from("<2d", record, 4))
@@ -55,8 +68,6 @@ def _wkb(record: bytes) -> bytes | None:
         (n,) = struct.unpack_from("<i", record, 36)
         points = [struct.unpack_from("<2d", record, 40 + 16 * k) for k in range(n)]
         return struct.pack("<BII", 1, 4, n) + b"".join(struct.pack("<BIdd", 1, 1, *p) for p in points)
-    if base not in (3, 5):
-        raise ValueError(f"shape type {kind}")
     parts, n = struct.unpack_from("<2i", record, 36)
     starts = [*struct.unpack_from(f"<{parts}i", record, 44), n]
     at = 44 + 4 * parts
@@ -65,11 +76,11 @@ def _wkb(record: bytes) -> bytes | None:
     if base == 3:
         return struct.pack("<BII", 1, 5, parts) + b"".join(struct.pack("<BI", 1, 2) + flat(x) for x in lines)
     areas = []
-    for ring in lines:
+    for ring in sorted(lines, key=lambda r: _ring_area(r) > 0):  # outer rings first
         if _ring_area(ring) <= 0 or not areas:
             areas.append([ring])
         else:
-            areas[-1].append(ring)
+            next((a for a in areas if _holds(a[0], ring[0])), areas[-1]).append(ring)
     return struct.pack("<BII", 1, 6, len(areas)) + b"".join(struct.pack("<BII", 1, 3, len(a)) + b"".join(map(flat, a)) for a in areas)
 
 
@@ -86,25 +97,72 @@ def crs_label(path: str) -> str | None:
     return "EPSG:4326" if re.match(r'GEOGCS\["(GCS_)?WGS[ _](19)?84', text) else f"unknown:{text[:60]}"
 
 
+def _encoding(path) -> str:
+    """The attributes' encoding by the .cpg beside a .shp; UTF-8 without one or with one that Python doesn't know."""
+    cpg = Path(path).with_suffix(".cpg")
+    name = cpg.read_text("ascii", "replace").strip() if cpg.exists() else "utf-8"
+    for guess in (name, f"cp{name}", name.replace("ANSI ", "cp"), "utf-8"):
+        try:
+            return codecs.lookup(guess).name
+        except LookupError:
+            pass
+
+
+class _Part(InputPartition):
+    """Records first to last of a file, or all of them."""
+
+    def __init__(self, first, last):
+        self.first, self.last = first, last
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path, schema):
         self.path, self.schema = path, schema
 
+    def partitions(self):
+        """RECORDS records each, where the .shx says where they are."""
+        index = Path(self.path).with_suffix(".shx")
+        if not index.exists():
+            return [_Part(0, None)]
+        n = (index.stat().st_size - 100) // 8
+        return [_Part(a, min(a + RECORDS, n)) for a in range(0, n, RECORDS)] or [_Part(0, 0)]
+
+    def _records(self, part):
+        """Number and shape of each record of a part."""
+        with open(self.path, "rb") as file:
+            if part.last is None:
+                file.seek(100)
+                k = 0
+                while len(head := file.read(8)) == 8:
+                    yield k, file.read(2 * struct.unpack(">2i", head)[1])
+                    k += 1
+                return
+            with open(Path(self.path).with_suffix(".shx"), "rb") as index:
+                index.seek(100 + 8 * part.first)
+                places = index.read(8 * (part.last - part.first))
+            for k, (at, words) in enumerate(struct.iter_unpack(">2i", places), part.first):
+                file.seek(2 * at + 8)
+                yield k, file.read(2 * words)
+
     def read(self, partition):
-        shapes = Path(self.path).read_bytes()
-        table = Path(self.path).with_suffix(".dbf").read_bytes()
-        fields, _, head, size = _fields(table)
-        at, k = 100, 0
-        while at < len(shapes):
-            (words,) = struct.unpack_from(">i", shapes, at + 4)
-            row = table[head + k * size : head + (k + 1) * size]
-            values, start = [], 1
-            for (name, kind, length, _), field in zip(fields, self.schema.fields):
-                values.append(_value(row[start : start + length], kind, field.dataType))
-                start += length
-            if row[:1] != b"*":
-                yield (*values, _wkb(shapes[at + 8 : at + 8 + 2 * words]))
-            at, k = at + 8 + 2 * words, k + 1
+        encoding = _encoding(self.path)
+        with open(Path(self.path).with_suffix(".dbf"), "rb") as table:
+            fields, _, head, size = _fields(_header(table))
+            for k, shape in self._records(partition):
+                table.seek(head + k * size)
+                row = table.read(size)
+                values, start = [], 1
+                for (_, _, length, _), field in zip(fields, self.schema.fields):
+                    values.append(_value(row[start : start + length], field.dataType, encoding))
+                    start += length
+                if row[:1] != b"*":
+                    yield (*values, _wkb(shape))
+
+
+def _header(table) -> bytes:
+    """The header of an open .dbf."""
+    start = table.read(32)
+    return start + table.read(struct.unpack_from("<H", start, 8)[0] - 32)
 
 
 class ShapefileSource(DataSource):
@@ -115,7 +173,8 @@ class ShapefileSource(DataSource):
         return "shapefile"
 
     def schema(self):
-        fields, *_ = _fields(Path(self.options["path"]).with_suffix(".dbf").read_bytes())
+        with open(Path(self.options["path"]).with_suffix(".dbf"), "rb") as table:
+            fields, *_ = _fields(_header(table))
         return T.StructType([*(T.StructField(n, _type(k, s, d)) for n, k, s, d in fields), T.StructField("geometry", T.BinaryType())])
 
     def reader(self, schema):

@@ -1,7 +1,14 @@
+import datetime
+import glob
 import json
+import math
+import os
 import struct
 
+import duckdb
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -11,10 +18,12 @@ from pyspark.sql import functions as F
 
 from geolattice.functions import crs, geometry
 from geolattice.functions.columns import has_source, overlaps, share_pct
-from geolattice.operators import inspection
-from geolattice.operators.retrieval import FeatureStore
-from geolattice.plans.cells import broadcast_pairs, tiled_pairs
+from geolattice import FeatureStore, FileIndex, queries
+from geolattice.functions.columns import with_position, with_running_sum
+from geolattice.operators import analysis, inspection, retrieval
+from geolattice.plans.cells import broadcast_pairs, cell_counts, tiled_pairs
 from geolattice.sources import geoparquet, shapefile
+from geolattice.streaming.boxes import stream_bbox
 
 
 def point(x, y, order="<"):
@@ -81,12 +90,51 @@ def test_tiled_plan_equals_broadcast_plan(spark):
     rng = np.random.default_rng(1)
     low = rng.uniform(-50, 50, (400, 2))
     size = rng.exponential(5, (400, 2)) * (rng.random((400, 1)) > 0.2)
-    rows = [(i, *map(float, l), *map(float, l + s)) for i, (l, s) in enumerate(zip(low, size))] + [(999, 0.0, 0.0, 0.0, None)]
+    rows = [(i, *map(float, l), *map(float, l + s)) for i, (l, s) in enumerate(zip(low, size))] + [(999, 0.0, 0.0, 0.0, None), (998, 0.0, 0.0, float("nan"), 1.0), (997, 0.0, 0.0, float("inf"), 1.0), (996, -1e9, -1e9, 1e9, 1e9)]
     features = spark.createDataFrame(rows, "f long, minx double, miny double, maxx double, maxy double")
-    cells = spark.createDataFrame([(k, float(k % 7 * 15 - 50), float(k // 7 * 15 - 50), float(k % 7 * 15 - 35), float(k // 7 * 15 - 35)) for k in range(49)], "cell long, cminx double, cminy double, cmaxx double, cmaxy double")
+    cells = spark.createDataFrame([(k, float(k % 7 * 15 - 50), float(k // 7 * 15 - 50), float(k % 7 * 15 - 35), float(k // 7 * 15 - 35)) for k in range(49)] + [(100, -1e6, -1e6, 1e6, 1e6), (101, 3.0, 3.0, 3.0, 3.0), (102, 0.0, float("-inf"), 1.0, 1.0), (103, None, 0.0, 1.0, 1.0)], "cell long, cminx double, cminy double, cmaxx double, cmaxy double")
     one = sorted(map(tuple, broadcast_pairs(features, cells).select("f", "cell").collect()))
-    for tile in (1.0, 4.0, 40.0):
-        assert sorted(map(tuple, tiled_pairs(features, cells, tile).select("f", "cell").collect())) == one
+    assert len({c for _, c in one}) == 51 and not {997, 998, 999} & {f for f, _ in one}
+    for tile in (1.0, 40.0, None):
+        found = tiled_pairs(features, cells, tile)
+        assert found.columns == broadcast_pairs(features, cells).columns
+        assert sorted(map(tuple, found.select("f", "cell").collect())) == one
+    counted = {plan: sorted(map(str, cell_counts(features, cells, plan=plan).collect())) for plan in ("broadcast", "tiled")}
+    assert counted["broadcast"] == counted["tiled"] and len(counted["tiled"]) == 53
+    assert tiled_pairs(features, cells.limit(0)).count() == 0 and tiled_pairs(features.limit(0), cells).count() == 0
+
+
+def test_batches_equal_single_geometries(spark):
+    rng = np.random.default_rng(3)
+    shapes = [None, point(1, 2), point(float("nan"), 2), point(3, 4, ">"), polygon(rect(0, 0, 4, 3)), polygon(rect(0, 0, 9, 9), rect(2, 2, 8, 8)), polygon([(0, 0), (10, 0), (0, 10), (0, 0)]), polygon(rect(0, 0, 4, 3), code=1003, size=3), struct.pack("<BII", 1, 3, 0), struct.pack("<BII", 1, 7, 0), struct.pack("<BIIdddd", 1, 2, 2, -5.0, 5.0, 15.0, 5.0)]
+    shapes = shapes * 30
+    boxes = np.sort(rng.integers(-2, 12, (len(shapes), 2, 2)).astype(float), axis=1).reshape(-1, 4)
+    for array in (pa.array(shapes, pa.binary()), pa.array([b"x"] + shapes, pa.binary()).slice(1), pa.array(shapes, pa.large_binary())):
+        batch = geometry.Batch(array)
+        expected = [geometry.bounds_of(x) for x in shapes]
+        assert [None if np.isnan(b).any() else tuple(b) for b in batch.bounds()] == expected
+        assert batch.meets(boxes).tolist() == [geometry.meets_box(x, *b) for x, b in zip(shapes, boxes)]
+    df = spark.createDataFrame(list(enumerate(shapes)), "i int, g binary")
+    empty = {r.i: r.e for r in df.select("i", geometry.st_is_empty("g").alias("e")).collect()}
+    assert empty == {i: None if x is None else geometry.bounds_of(x) is None for i, x in enumerate(shapes)}
+    assert geometry.Batch(pa.array([], pa.binary())).bounds().shape == (0, 4)
+
+
+def test_places_and_running_sums_over_ranges(spark):
+    rows = [(i, None if i % 5 == 0 else (i * 37) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    got = with_position(df, F.col("v").asc_nulls_last(), "i")
+    assert sorted((r.rank, r.i, r.v) for r in got.collect()) == [(k, *r) for k, r in enumerate(order)]
+    sums = {r.i: r.total for r in with_running_sum(df, "v", "i").collect()}
+    total = 0
+    for i, v in rows:
+        total += v or 0
+        assert sums[i] == total
+    assert with_position(df.limit(0), "i").count() == 0 and with_running_sum(df.limit(0), "v", "i").count() == 0
+    assert with_position(df.withColumnRenamed("v", "at").withColumn("part", F.lit(1)), "i").columns == ["i", "at", "part", "rank"]
+    numbers = retrieval.numbered(df.orderBy("i"), "place")
+    assert sorted((r.i, r.place) for r in numbers.collect()) == [(i, i) for i in range(200)]
 
 
 def write_geo(path, points, geo="auto", **more):
@@ -158,15 +206,16 @@ def test_missing_and_empty_directories(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         FeatureStore(spark, tmp_path)
     with pytest.raises(FileNotFoundError):
-        geoparquet.files_by_directory(tmp_path)
+        geoparquet.files_by_directory(spark, tmp_path)
 
 
 def test_geoparquet_round_trip_and_crs(spark, tmp_path):
     df = spark.createDataFrame([(1, point(111319.49079327358, 0.0)), (2, None)], "id long, geometry binary")
     moved = crs.to_wgs84(crs.set_crs(df, "EPSG:3857"))
     assert crs.crs_of(moved) == "EPSG:4326"
-    assert geoparquet.write(moved, str(tmp_path / "out")) == 2
-    back = geoparquet.read(spark, str(tmp_path / "out"))
+    assert geoparquet.write(moved, tmp_path / "out") and not geoparquet.write(moved.limit(0), tmp_path / "none")
+    assert not (tmp_path / "none").exists()
+    back = geoparquet.read(spark, (tmp_path / "out").as_uri())
     assert crs.crs_of(back) == "EPSG:4326"
     found = {r.id: geometry.bounds_of(r.geometry) for r in back.collect()}
     assert found[2] is None and abs(found[1][0] - 1) < 1e-9 and abs(found[1][1]) < 1e-9
@@ -181,18 +230,38 @@ def test_shapefile(spark, tmp_path):
     (tmp_path / "x.shp").write_bytes(b"\0" * 100 + body)
     fields = struct.pack("<11sc4xBB14x", b"id", b"C", 4, 0) + struct.pack("<11sc4xBB14x", b"entities", b"N", 6, 0)
     (tmp_path / "x.dbf").write_bytes(struct.pack("<4xIHH20x", 1, 32 + len(fields) + 1, 11) + fields + b"\r" + b" c1  " + b"    12")
+    (tmp_path / "x.shx").write_bytes(b"\0" * 100 + struct.pack(">2i", 50, len(shape) // 2))
     (tmp_path / "x.prj").write_text('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]')
     df = shapefile.read(spark, str(tmp_path / "x.shp"))
     row = df.first()
     assert (row.id, row.entities, geometry.bounds_of(row.geometry)) == ("c1", 12, (0, 0, 1, 1))
     assert crs.crs_of(df) == "EPSG:4326"
+    (tmp_path / "x.shx").unlink()
+    assert shapefile.read(spark, str(tmp_path / "x.shp")).collect() == [row]
+    (tmp_path / "x.cpg").write_text("ISO-8859-1")
+    table = (tmp_path / "x.dbf").read_bytes()
+    (tmp_path / "x.dbf").write_bytes(table[:-10] + b"\xe9t\xe9 " + table[-6:])
+    assert shapefile.read(spark, str(tmp_path / "x.shp")).first().id == "été"
+
+
+def test_shapes_of_all_kinds():
+    points = lambda p: b"".join(struct.pack("<2d", *x) for x in p)
+    with pytest.raises(ValueError):
+        shapefile._wkb(struct.pack("<i4d3i", 31, 0, 0, 1, 1, 1, 5, 0) + points(rect(0, 0, 1, 1)))
+    assert shapefile._wkb(struct.pack("<i", 0)) is None
+    assert geometry.bounds_of(shapefile._wkb(struct.pack("<i4d", 11, 1, 2, 3, 4))) == (1, 2, 1, 2)
+    assert geometry.bounds_of(shapefile._wkb(struct.pack("<i4di", 8, 0, 0, 0, 0, 2) + points([(1, 5), (3, 2)]))) == (1, 2, 3, 5)
+    hole, far, outer = rect(2, 2, 4, 4), rect(20, 20, 30, 30)[::-1], rect(0, 0, 10, 10)[::-1]
+    record = struct.pack("<i4d2i3i", 5, 0, 0, 0, 0, 3, 15, 0, 5, 10) + points(hole) + points(outer) + points(far)
+    wkb = shapefile._wkb(record)
+    assert not geometry.meets_box(wkb, 2.5, 2.5, 3, 3) and geometry.meets_box(wkb, 25, 25, 26, 26) and geometry.meets_box(wkb, 1, 1, 1, 1)
 
 
 def test_inspection(spark, tmp_path):
     write_geo(tmp_path / "a" / "1.parquet", [(0, 0), (1, 1)])
     assert [(r.directory, r.n_files) for r in inspection.directories(spark, tmp_path).collect()] == [("a", 1)]
     assert inspection.sample(spark, tmp_path / "a" / "1.parquet", 1).count() == 1
-    assert "primary_column" in inspection.geo_text(tmp_path / "a" / "1.parquet")
+    assert "primary_column" in inspection.geo_text(spark, tmp_path / "a" / "1.parquet")
     assert not inspection.write_csv(spark.range(0), str(tmp_path / "csv")) and inspection.write_csv(spark.range(3), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
 
@@ -202,3 +271,178 @@ def test_overlap_counts_touching_edges(spark):
     assert df.where(overlaps("minx", "miny", "maxx", "maxy", (1, 1, 2, 2))).count() == 1
     assert df.where(overlaps("minx", "miny", "maxx", "maxy", (1.1, 1, 2, 2))).count() == 0
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_an_index_over_odd_files_and_a_kept_one(spark, tmp_path):
+    write_geo(tmp_path / "1.parquet", [(0, 0)])
+    write_geo(tmp_path / "2.parquet", [(0, 0)], geo="")
+    write_geo(tmp_path / "_hidden" / "3.parquet", [(0, 0)])
+    store = FeatureStore(spark, tmp_path)
+    assert store.file_count == 1
+    write_geo(tmp_path / "4.parquet", [(5, 5)])
+    assert store.file_count == 1
+    store.refresh()
+    assert store.file_count == 2
+    store.index.save(spark, str(tmp_path / "kept-index"))
+    assert FileIndex.load(spark, str(tmp_path / "kept-index")) == store.index
+    assert FeatureStore(spark, tmp_path.as_uri(), store.index).query_bbox(4, 4, 6, 6).count() == 1
+    with pytest.raises(RuntimeError):
+        geoparquet.scan(spark, str(tmp_path / "1.parquet")).limit(0).write.parquet(str(tmp_path / "empty"))
+        geoparquet.scan(spark, str(tmp_path / "empty"), may_be_empty=False)
+
+
+def test_what_is_written_opens_again(spark, tmp_path):
+    rows = [(i, point(i, i) if i < 10 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, geometry binary").repartitionById(3, F.when(F.col("id") < 10, 0).otherwise(2))
+    path = tmp_path / "out"
+    assert geoparquet.write(df, path)
+    store = FeatureStore(spark, path)
+    assert store.file_count == 2 and sorted(e.bbox for e in store.index.entries if e.bbox) == [(0, 0, 9, 9)]
+    assert store.query_bbox(3, 3, 5, 5).count() == 3 and spark.read.parquet(str(path)).count() == 20
+    assert not [p for p in path.iterdir() if not p.name.startswith("part-")]
+    assert geoparquet.write(df, path) and spark.read.parquet(str(path)).count() == 40
+    assert geoparquet.write(df.where("id > 12"), path, mode="overwrite") and spark.read.parquet(str(path)).count() == 7
+    only_nulls = FeatureStore(spark, path)
+    assert only_nulls.query_bbox(0, 0, 99, 99).count() == 0 and only_nulls.index.candidates((0, 0, 99, 99)) == []
+
+
+def test_a_task_that_failed_leaves_nothing(spark, tmp_path):
+    raising = F.udf(lambda x: 1 // (x - 7), "long")
+    df = spark.range(0, 20, 1, 2).select(raising("id").alias("id"), geometry.st_point(F.lit(1.0), F.lit(1.0)).alias("geometry"))
+    with pytest.raises(Exception):
+        df.sparkSession.dataSource.register(geoparquet.GeoParquetSink)
+        df.write.format("geoparquet").options(geometry="geometry", crs="EPSG:4326", job="x").mode("append").save(str(tmp_path / "out"))
+    assert not glob.glob(f"{tmp_path}/out/**/*.parquet", recursive=True)
+
+
+def test_a_box_column_settles_rows_natively(spark, tmp_path):
+    shapes = [polygon([(0, 0), (10, 0), (0, 10), (0, 0)]), polygon(rect(20, 20, 21, 21)), point(9, 9), None]
+    box = F.struct(*(F.col(f"b.{b}").alias(n) for b, n in zip(("minx", "miny", "maxx", "maxy"), ("xmin", "ymin", "xmax", "ymax"))))
+    df = spark.createDataFrame(list(enumerate(shapes)), "id long, geometry binary").withColumn("b", geometry.st_bounds("geometry"))
+    df = df.withColumn("bbox", box).drop("b").coalesce(1)
+    geoparquet.write(df, tmp_path / "out", covering="bbox")
+    store = FeatureStore(spark, tmp_path / "out")
+    assert store.index.covering == ("`bbox`.`xmin`", "`bbox`.`ymin`", "`bbox`.`xmax`", "`bbox`.`ymax`")
+    found = store.query_bbox(8, 8, 30, 30, columns=["id"])
+    assert sorted(r.id for r in found.collect()) == [1, 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(bbox" in plan
+    results, _ = store.collect_bbox_statistics([{"geometry": polygon(rect(8, 8, 30, 30))}, {"geometry": polygon(rect(-1, -1, 30, 30))}])
+    assert sorted(r.buildings_count for r in results.collect()) == [2, 3]
+
+
+class Shape:
+    def __init__(self, bounds, wkb=None, is_empty=False):
+        self.bounds, self.is_empty = bounds, is_empty
+        if wkb:
+            self.wkb = wkb
+
+
+class Record:
+    def __init__(self, **fields):
+        self.__dict__.update(fields)
+
+
+def test_statistics_of_frames_and_objects(spark, store):
+    shapes = [Shape((0, 0, 1, 1), polygon(rect(0, 0, 1, 1))), None, Shape((0, 0, 0, 0), is_empty=True), Shape((9, 9, 12, 12))]
+    frame = pd.DataFrame({"id": [1, 2, 3, 4.5], "when": pd.to_datetime(["2020-01-01", None, None, "2021-01-01"]), "mixed": ["a", 1, None, 2], "geometry": shapes}, index=[10, 11, 12, 13])
+    results, log = store.collect_bbox_statistics(frame, metadata_fields=["id", "when", "mixed", "absent"])
+    assert sorted(map(tuple, results.drop("geometry").collect())) == [(1.0, datetime.datetime(2020, 1, 1), "a", None, 2, 1), (4.5, datetime.datetime(2021, 1, 1), "2", None, 2, 1)]
+    assert sorted(r.feature_index for r in log.collect()) == [10, 13]
+    assert sorted(geometry.bounds_of(bytes(r.geometry)) for r in results.collect()) == [(0, 0, 1, 1), (9, 9, 12, 12)]
+    named = store.collect_bbox_statistics(frame.set_index(pd.Index(["p", "q", "r", "s"])))[1]
+    assert sorted(r.feature_index for r in named.collect()) == ["p", "s"]
+    objects = [Record(geometry=shapes[0], id=np.int64(3)), Record(id=1), {"geometry": shapes[3], "id": 2.5}]
+    results, log = store.collect_bbox_statistics(objects, metadata_fields=["id"])
+    assert sorted(r.id for r in results.collect()) == [2.5, 3.0] and sorted(r.feature_index for r in log.collect()) == [0, 2]
+    with pytest.raises(ValueError):
+        store.collect_bbox_statistics([{"geometry": "POINT (1 1)"}])
+    assert [x.count() for x in store.collect_bbox_statistics([])] == [0, 0]
+    cells = spark.createDataFrame([(5, point(1, 1)), (6, None), (7, point(2, 2))], "place long, geometry binary").coalesce(1)
+    assert sorted(r.feature_index for r in store.collect_bbox_statistics(cells)[1].collect()) == [0, 2]
+
+
+def test_only_files_near_some_cell_are_read(spark, tmp_path):
+    for k in range(6):
+        write_geo(tmp_path / f"{k}.parquet", [(10 * k, 10 * k)])
+    store = FeatureStore(spark, tmp_path)
+    read = []
+    scan = store._scan
+    store._scan = lambda files: read.append(sorted(files)) or scan(files)
+    store.collect_bbox_statistics([{"geometry": point(0, 0)}, {"geometry": point(50, 50)}])
+    assert [[p.rpartition("/")[2] for p in files] for files in read] == [["0.parquet", "5.parquet"]]
+
+
+def test_columns_with_blanks_and_expressions(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, point(0, 0))], "`my col` long, b long, geometry binary")
+    geoparquet.write(df, tmp_path / "out")
+    store = FeatureStore(spark, tmp_path / "out")
+    assert store.query_bbox(0, 0, 1, 1, columns=["my col", "b + 1 AS c"]).collect() == [(1, 3)]
+
+
+def test_rows_of_any_frame_that_meet_a_box(spark):
+    df = spark.createDataFrame([(1, point(0, 0)), (2, None), (3, polygon(rect(0, 0, 5, 5)))], "id long, geometry binary")
+    assert sorted(r.id for r in retrieval.where_meets(df, 0, 0, 1, 1).collect()) == [1, 3]
+    with pytest.raises(RuntimeError):
+        retrieval.where_meets(df, 50, 50, 51, 51)
+
+
+def test_utm_goes_back_to_where_it_came_from(spark):
+    f, a = 1 / 298.257223563, 6378137.0
+    n = f / (2 - f)
+    size = 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+
+    def forward(lon, lat, zone, south):
+        e = math.sqrt(f * (2 - f))
+        phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+        t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+        xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+        x = eta + sum(k * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, k in enumerate(alpha, 1))
+        y = xi + sum(k * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, k in enumerate(alpha, 1))
+        return 5e5 + size * x, size * y + 1e7 * south
+
+    # the meridian's length up to 45 degrees, times the scale on it
+    assert abs(forward(9, 45, 32, False)[1] - 0.9996 * 4984944.378) < 0.01
+    for lon, lat, zone, south in ((8.7, 49.4, 32, False), (11.9, 70, 32, False), (-70.2, -33.4, 19, True), (9, 0, 32, False)):
+        x, y = forward(lon, lat, zone, south)
+        many = struct.pack("<BII", 1, 4, 1) + point(x, y, ">")
+        df = spark.createDataFrame([(point(x, y),), (many,), (None,), (polygon(rect(x, y, x, y)),)], "geometry binary")
+        moved = crs.to_wgs84(crs.set_crs(df, f"EPSG:32{7 if south else 6}{zone:02}"))
+        for r in moved.where("geometry IS NOT NULL").collect():
+            b = geometry.bounds_of(bytes(r.geometry))
+            assert abs(b[0] - lon) < 1e-9 and abs(b[1] - lat) < 1e-9
+
+
+def test_chart_and_generated_frames(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "cell long, a long, b long")
+    assert sorted(map(tuple, analysis.series(df, "cell", "a", "b").collect())) == [(1, "a", 2.0), (1, "b", 3.0)]
+    assert analysis.generated(spark, 5).count() == 5 and analysis.generated(spark, 0).count() == 0
+    assert inspection.values(df, "a") == [(0, 2)]
+    assert has_source  # a single struct counts as an array of one
+    one = spark.createDataFrame([(("OpenStreetMap",),), (None,)], "s struct<dataset string>")
+    assert [r[0] for r in one.select(has_source("s", "OpenStreetMap", single=True)).collect()] == [True, False]
+
+
+def test_a_stream_of_files_is_filtered_as_it_grows(spark, tmp_path):
+    write_geo(tmp_path / "in" / "1.parquet", [(0, 0), (5, 5)])
+    rows = stream_bbox(spark, str(tmp_path / "in"), "id string, geom binary", "geom", (4, 4, 6, 6))
+    query = rows.select("id").writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    write_geo(tmp_path / "in" / "2.parquet", [(4, 4)])
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.id for r in spark.table("near").collect()) == ["f0", "f1"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    base = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in glob.glob(f"{base}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    got, expected = queries.QUERIES[name](spark, base).toArrow(), con.sql(queries.ORACLE_SQL[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(expected.column_names)
+    rows = lambda t: sorted(map(repr, zip(*(t.column(c).to_pylist() for c in sorted(t.column_names)))))
+    assert rows(got) == rows(expected)
