@@ -3,43 +3,48 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut, fresh, shared_dir, stored
+
+__all__ = ["BLANKS", "byte_slices", "cut", "fresh", "joined", "let", "shared_dir", "stored", "with_groups", "worker_state"]
+
 #: Words are maximal runs of characters other than these (a Java regex class body).
 BLANKS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
+#: Parts that the rows of one key are dealt into before they meet as a group.
+PARTS = 1_024
+
+
+def with_groups(rows: DataFrame, keys: list[str], by: list[str], aggregates: dict, where=None) -> DataFrame:
+    """rows with aggregates over all rows of their key; a key's rows never meet in one task.
+
+    aggregates: name to (column over rows, function that merges such columns). Rows of one
+    key are dealt into PARTS by the columns in by; each part is aggregated, these few rows are
+    aggregated by key, and the result goes back to the parts. where, on the merged columns,
+    says which keys' rows stay. Rows with a null key go. rows should be a stored table.
+    """
+    (salt,) = fresh([*rows.columns, *aggregates], "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(PARTS)))
+    some = dealt.groupBy(*keys, salt).agg(*(c.alias(n) for n, (c, _) in aggregates.items()))
+    whole = some.groupBy(*keys).agg(*(merge(n).alias(n) for n, (_, merge) in aggregates.items()))
+    whole = whole if where is None else whole.where(where)
+    return dealt.join(some.select(*keys, salt).join(whole, keys), [*keys, salt]).drop(salt)
+
+
+def joined(rows: DataFrame, other: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows with the columns of other, which has a key once at most; a key's rows never meet in one task.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made once.
+    Rows of one key are dealt into PARTS by the columns in by, and each part gets other's row.
     """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_own_shared_dir", None)
-    if not path:
-        path = sc._own_shared_dir = tempfile.mkdtemp(prefix="shared-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; plans that use it start from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as compressed Parquet, for tables that grow with the input."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    (salt,) = fresh([*rows.columns, *other.columns], "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(PARTS)))
+    some = dealt.select(*keys, salt).distinct()
+    return dealt.join(some.join(other, keys), [*keys, salt]).drop(salt)
 
 
 def worker_state(key, make):
