@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import fresh, stored, with_groups
 
 SIZE = 200
 GRAM = 8
@@ -24,8 +24,10 @@ GRAM = 8
 SPLIT = 97
 #: Bytes of text that are parsed at a time, or one text.
 PIECE = 512 << 10
+#: Most bytes whose grams are ranked together: PLACE bits hold a place, the others a hash. Longer texts are parsed part by part.
+PLACE, PART = 28, 1 << 26
 #: Phrases of the dictionary that one bin holds on average, and the most with one core that go to one bin.
-BIN, GROUP = 8_192, 4_096
+BIN, GROUP = 1_024, 1_024
 
 KEYS = ["doc", "key"]
 
@@ -39,6 +41,8 @@ def parse(data: bytes, starts, size: int = SIZE, split: int = SPLIT):
     """The phrases of texts that lie end to end in data, each from its place in starts to the next.
 
     Returns arrays: first and last string start of each phrase, and core start and stop.
+    Beyond PART bytes strings are dealt out by where they start, which only parts a phrase
+    in two where two parts meet; these share their core.
     """
     import numpy as np
 
@@ -46,6 +50,12 @@ def parse(data: bytes, starts, size: int = SIZE, split: int = SPLIT):
     n = len(data) - size + 1
     if n <= 0:
         return empty
+    if n > PART:
+        starts, found = np.asarray(starts, np.int64), []
+        for a in range(0, n, PART):
+            inner = starts[(starts > a) & (starts < a + PART + size - 1)] - a
+            found.append([x + a for x in parse(data[a : a + PART + size - 1], np.append(0, inner), size, split)])
+        return tuple(map(np.concatenate, zip(*found)))
     raw = np.frombuffer(data, np.uint8)
     grams = np.empty(len(data) - GRAM + 1, np.uint64)
     for k in range(GRAM):
@@ -54,7 +64,7 @@ def parse(data: bytes, starts, size: int = SIZE, split: int = SPLIT):
     grams *= np.uint64(0x9E3779B97F4A7C15)
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
-    place = np.uint64(28)
+    place = np.uint64(PLACE)
     grams >>= place
     grams <<= place
     grams |= np.arange(len(grams), dtype=np.uint64)
@@ -65,7 +75,7 @@ def parse(data: bytes, starts, size: int = SIZE, split: int = SPLIT):
         width *= 2
     if width < wide:
         least = np.minimum(least[: width - wide], least[wide - width :])
-    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    anchor = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     starts = np.asarray(starts, np.int64)
     ends = np.append(starts[1:], len(data)) - size  # the last string of each text
     new = np.ones(n, bool)
@@ -152,11 +162,12 @@ def ranks(data: bytes, size: int = SIZE):
     return rank
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame:
-    """docs with the columns of found, joined by id and key."""
-    base = docs.withColumn("_key", row_key(doc_id, text))
-    other = found.select(*(F.col(c).alias(f"_{c}2" if c in KEYS else c) for c in found.columns))
-    return base.join(other, (F.col("_key") == F.col("_key2")) & F.col(doc_id).eqNullSafe(F.col("_doc2")), "left").drop("_key2", "_doc2")
+def _texts(docs: DataFrame, doc_id: str, text: str, found: DataFrame, name: str, by: str) -> DataFrame:
+    """docs with the list name of found (doc, key, list), joined by id and key; the key is called by."""
+    (other,) = fresh([*docs.columns, name, by], "doc")
+    found = found.select(F.col("doc").alias(other), F.col("key").alias(f"{by}2"), F.col("list").alias(name))
+    base = docs.withColumn(by, row_key(doc_id, text))
+    return base.join(found, (F.col(by) == F.col(f"{by}2")) & F.col(doc_id).eqNullSafe(F.col(other)), "left").drop(f"{by}2", other)
 
 
 def dictionary_repeats(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -167,10 +178,10 @@ def dictionary_repeats(docs: DataFrame, chosen: DataFrame, doc_id: str, text: st
     (big), their strings are dealt out one by one by hash and counted instead.
     """
     schema = T.StructType([chosen.schema["doc"], chosen.schema["key"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
-    lists = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "core", "n_found", "big")).alias("some"))
-    base = docs.select(F.col(doc_id), F.col(text))
-    rows = _texts(base, doc_id, text, lists).where("some IS NOT NULL")
-    rows = rows.select(F.col(doc_id).alias("doc"), F.col("_key").alias("key"), F.encode(text, "UTF-8").alias("data"), F.explode("some").alias("s")).select("doc", "key", "data", "s.*")
+    lists = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "core", "n_found", "big")).alias("list"))
+    some, key = fresh([doc_id, text], "some", "key")
+    rows = _texts(docs.select(doc_id, text), doc_id, text, lists, some, key).where(F.col(some).isNotNull())
+    rows = rows.select(F.col(doc_id).alias("doc"), F.col(key).alias("key"), F.encode(text, "UTF-8").alias("data"), F.explode(some).alias("s")).select("doc", "key", "data", "s.*")
     rows = rows.select("doc", "key", "start", "n", "core", "n_found", "big", F.substring("data", F.col("start") + 1, F.col("n") + (SIZE - 1)).alias("bytes"))
     rows = stored(rows, "dictionary")
     bins = max(1, -(-rows.count() // BIN))
@@ -203,25 +214,27 @@ def dictionary_repeats(docs: DataFrame, chosen: DataFrame, doc_id: str, text: st
     strings = rows.where("big").select("doc", "key", "start", "n_found", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     string = F.substring("bytes", F.col("i") + 1, SIZE)
     strings = strings.select("doc", "key", (F.col("start") + F.col("i")).alias("at"), "n_found", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2"))
-    twice = strings.groupBy("h1", "h2").count().where("count > 1").drop("count")
-    single = strings.where("n_found = 1").join(twice, ["h1", "h2"]).select("doc", "key", F.col("at").alias("lo"), (F.col("at") + SIZE).alias("hi"))
+    twice = with_groups(stored(strings, "strings"), ["h1", "h2"], ["doc", "key"], {"times": (F.count("*"), F.sum)}, "times > 1")
+    single = twice.where("n_found = 1").select("doc", "key", F.col("at").alias("lo"), (F.col("at") + SIZE).alias("hi"))
     return near.union(single)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, key, spans: for each text with repeats, the byte spans that repeated strings cover (they may overlap)."""
+    """doc, key, list: for each text with repeats, the byte spans that repeated strings cover (they may overlap)."""
     rows = stored(phrases(docs, doc_id, text), "phrases")
     # kept as a table, so that a core that very many phrases share can be split in the join
     cores = stored(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     rows = stored(rows.join(cores, "core"), "candidates")
     place = F.struct("doc", "key", "start", "n")
-    entries = stored(rows.groupBy("core", "whole").agg(F.count("*").alias("n_found"), F.min(place).alias("p")), "entries")
-    whole = rows.join(entries.where("n_found > 1").select("core", "whole"), ["core", "whole"])
-    whole = whole.select(*KEYS, F.col("start").alias("lo"), (F.col("start") + F.col("n") + (SIZE - 1)).alias("hi"))
+    times = {"n_found": (F.count("*"), F.sum), "p": (F.min(place), F.min)}
+    rows = stored(with_groups(rows, ["core", "whole"], ["doc", "key"], times), "counted")
+    whole = rows.where("n_found > 1").select(*KEYS, F.col("start").alias("lo"), (F.col("start") + F.col("n") + (SIZE - 1)).alias("hi"))
+    # the parse's phrases, each by its first place
+    entries = rows.where(F.col("p") == place).select("core", "whole", "n_found", "p").dropDuplicates(["core", "whole"])
     many = entries.groupBy("core").agg(F.count("*").alias("c"), F.min("n_found").alias("least")).where("c > 1 AND least = 1")
     chosen = entries.join(many.select("core", (F.col("c") > GROUP).alias("big")), "core").select("p.*", "core", "n_found", "big")
     part = dictionary_repeats(docs, chosen, doc_id, text)
-    return whole.union(part).groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return whole.union(part).groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("list"))
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
@@ -232,9 +245,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as
     new names give way. With as_text kept is a string, without the parts of characters that
     a cut leaves.
     """
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    docs = docs.select(*names)
-    rows = _texts(docs, doc_id, text, repeated_spans(docs, doc_id, text)).drop("_key")
+    made = ("n_bytes", "n_removed", "n_spans", "kept")
+    names = [c for c in docs.columns if c.lower() not in made]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    key, found = fresh([*names, *made], "key", "spans")
+    rows = _texts(docs, doc_id, text, repeated_spans(docs, doc_id, text), found, key)
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches):
@@ -262,7 +277,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(m, pa.int64()) for m in made[:3]), pa.array(made[3], pa.string() if as_text else pa.binary())], out.names)
 
-    return rows.select(*names, "spans").mapInArrow(run, out)
+    return rows.select(*(F.col(f"`{c}`") for c in names), found).mapInArrow(run, out)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
