@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let
+from .common import BLANKS, cut, fresh, let, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -54,60 +54,70 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     where over 30 % of its words lie in repeated 8-word windows.
     """
     docs = docs.drop(*MEASURES)
+    (both,) = fresh([*docs.columns, *MEASURES], "sizes")
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     sizes = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r")))
-    out = docs.withColumn("_sizes", sizes).withColumns(
+    out = docs.withColumn(both, sizes).withColumns(
         {
-            "n_words": F.col("_sizes.n"),
+            "n_words": F.col(both)["n"],
             "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": repeats.cast("long"),
-            "n_repeat_words": F.col("_sizes.r"),
+            "n_repeat_words": F.col(both)["r"],
         }
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_sizes")
+    return out.withColumn("base_failed", failed).drop(both)
 
 
 def host_verdicts(measured: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
-    """One row for each host that fails: its documents, failures and shrunk rate.
+    """One row for each host that fails: host, n_host, n_host_failed and host_rate, its shrunk rate.
 
-    The prior's mean is the failure rate of all documents, its strength
-    mean * (1 - mean) / variance - 1 for the variance of host rates, each weighted by
-    its documents, and held between 1 and 1000. A host fails if
-    (failures + mean * strength) / (documents + strength) exceeds limit. Documents
-    without a host count for none.
+    The prior is a beta distribution fitted by moments: its mean is the failure rate of all
+    documents; the variance of host rates, weighted by documents, less what chance alone
+    would make it, gives its strength mean * (1 - mean) / variance - 1, which is held between
+    0.001 and the number of documents. A host fails if (failures + mean * strength) /
+    (documents + strength) exceeds limit. Documents without a host count for none.
     """
     hosts = cut(
         measured.where(F.col(host).isNotNull())
-        .groupBy(host)
+        .groupBy(F.col(host).alias("host"))
         .agg(F.count("*").alias("n_host"), F.count_if("base_failed").alias("n_host_failed"))
     )
     n, f = F.col("n_host"), F.col("n_host_failed")
-    total, failed, squares = hosts.agg(F.sum(n), F.sum(f), F.sum(f * f / n)).first()
-    mean = (failed or 0) / (total or 1)
-    variance = (squares or 0.0) / (total or 1) - mean * mean
-    strength = min(1000.0, max(1.0, mean * (1 - mean) / variance - 1)) if variance > 1e-9 else 1000.0
+    total, failed, squares, count = hosts.agg(F.sum(n), F.sum(f), F.sum(f * f / n), F.count("*")).first()
+    mean, total = (failed or 0) / (total or 1), total or 1
+    by_chance = mean * (1 - mean) * count / total
+    variance = ((squares or 0.0) / total - mean * mean - by_chance) / (1 - count / total) if count < total else 0.0
+    strength = min(float(total), max(0.001, mean * (1 - mean) / variance - 1)) if variance > 1e-9 else float(total)
     rate = (f + F.lit(mean * strength)) / (n + F.lit(strength))
     return hosts.withColumn("host_rate", rate).where(F.col("host_rate") > limit)
 
 
 def verdicts(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
     """measured with kept: false if the document or its host fails."""
-    bad = hosts.select(F.col(host).alias("_host"), F.lit(True).alias("_bad"))
+    name, fails = fresh([*measured.columns, "kept"], "host", "fails")
+    bad = hosts.select(F.col("host").alias(name), F.lit(True).alias(fails))
     if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    joined = measured.drop("kept").join(bad, F.col(host) == F.col("_host"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
+    joined = measured.drop("kept").join(bad, F.col(host) == F.col(name), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col(fails).isNull()).drop(name, fails)
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
-    """The documents that neither fail the rules nor belong to a failing host, with their own columns."""
-    measured = measure(docs, text)
-    bad = host_verdicts(measured, host, limit)
-    return verdicts(measured, bad, host).where("kept").select(*docs.columns)
+    """The documents that neither fail the rules nor belong to a failing host, with their own columns.
+
+    Texts are measured once: rows and verdicts are kept as a table, without the texts of
+    documents that fail on their own. Null and empty texts fail.
+    """
+    (own,) = fresh([*docs.columns, *MEASURES, "kept"], "own")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own), F.col(text), F.col(host))
+    rows = measure(rows, text).select(F.when(~F.col("base_failed"), F.col(own)).alias(own), F.col(host), "base_failed")
+    rows = stored(rows, "measured")
+    bad = host_verdicts(rows, host, limit)
+    return verdicts(rows, bad, host).where("kept").select(f"{own}.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -137,8 +147,9 @@ m AS (
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM h),
-s AS (SELECT mean, CASE WHEN v > 1e-9 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS k FROM p),
+t AS (SELECT sum(n) AS total, sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS squares, count(*) AS hosts FROM h),
+p AS (SELECT total, mean, CASE WHEN hosts < total THEN (squares - mean * mean - mean * (1 - mean) * hosts / total) / (1 - hosts / total) ELSE 0 END AS v FROM t),
+s AS (SELECT mean, CASE WHEN v > 1e-9 THEN least(CAST(total AS DOUBLE), greatest(0.001, mean * (1 - mean) / v - 1)) ELSE CAST(total AS DOUBLE) END AS k FROM p),
 bad AS (SELECT source FROM h, s WHERE (f + mean * k) / (n + k) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept
