@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let
+from .common import BLANKS, fresh, let, stored, with_groups
 
 WINDOW = 3
 
@@ -40,12 +40,11 @@ def row_key(doc_id: str, text: str):
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, key, spans: for each document with later copies, the first and last line of each."""
-    rows = windows(docs, doc_id, text)
-    place = F.struct(F.col("doc"), F.col("key"), F.col("first"))
-    groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("end"))
-    found = groups.where("origin <> end").select("h1", "h2", "origin")
-    later = rows.join(found, ["h1", "h2"]).where(F.col("origin") != place)
-    return later.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = stored(windows(docs, doc_id, text), "windows")
+    place = F.struct("doc", "key", "first")
+    ends = {"origin": (F.min(place), F.min), "end": (F.max(place), F.max)}
+    later = with_groups(rows, ["h1", "h2"], ["doc", "key"], ends, "origin <> end").where(F.col("origin") != place)
+    return later.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,20 +52,24 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     A null text stays null and has no lines; texts of under three lines that are not
     blank stay whole. Rows equal in id and text are one document and get the same result.
+    Columns of docs named n_lines or n_removed give way, all others stay.
     """
-    spans = repeated_spans(docs, doc_id, text).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "spans")
-    base = docs.drop("n_lines", "n_removed", "_gone", "_at").withColumn("_at", row_key(doc_id, text))
-    joined = base.join(spans, (F.col("_at") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    doc, key, spans, at, gone = fresh([*names, "n_lines", "n_removed"], "doc", "key", "spans", "at", "gone")
+    found = repeated_spans(docs, doc_id, text).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("spans").alias(spans))
+    base = docs.withColumn(at, row_key(doc_id, text))
+    joined = base.join(found, (F.col(at) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(doc)), "left")
+    covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
     rest = lambda x, y: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), y), lambda i: F.get(x, i)), "\n")
-    joined = joined.withColumn("_gone", gone)
+    joined = joined.withColumn(gone, covered)
     return joined.withColumns(
         {
             "n_lines": F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), lambda x: rest(x, F.col("_gone")))),
+            "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+            text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), lambda x: rest(x, F.col(gone)))),
         }
-    ).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "_gone", "_at")], "n_lines", "n_removed")
+    ).select(*(F.col(f"`{c}`") for c in names), "n_lines", "n_removed")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
