@@ -186,7 +186,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, doc_id
     A document is its ids and then the id end; a null text has no ids of its own. What
     exceeds whole sequences is placed by the sum-of-squares rule within its task, without
     any shuffle; what is left open at a task's end is cut so that every sequence is full or
-    a power of two long. Rows with equal or null ids are packed like any others. Columns:
+    a power of two long. Where more than OPEN windows of a task are open at once, as with
+    pieces that can't be paired, the emptiest are cut up to fill the fullest until half as
+    many are, which bounds a task's memory; no id is lost or padded by it. Rows with equal or null ids are packed like any others. Columns:
     doc_id, start, length, ids, doc_tokens, sequence_id, offset. recent bounds a worker's
     table of recent words (about 200 bytes each).
     """
