@@ -17,7 +17,7 @@ from ..shared import fresh
 
 CELL_BOX = ("cminx", "cminy", "cmaxx", "cmaxy")
 #: Up to so many cells the broadcast plan is used (about 50 bytes each); by measurement the tiles win from there on.
-BROADCAST_CELLS = 200
+BROADCAST_CELLS = 500
 
 
 def _counts(pairs: DataFrame) -> DataFrame:
