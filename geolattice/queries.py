@@ -15,7 +15,7 @@ from .functions.geometry import st_bounds, st_is_empty, st_meets_box, st_point,
 from .operators import inspection
 from .operators.analysis import generated, map_frame, ranked, series, smallest, with_share
 from .operators.inspection import describe, where_equal
-from .operators.retrieval import FeatureStore, numbered, where_box_meets
+from .operators.retrieval import FeatureStore, numbered, where_box_meets, where_meets
 from .plans.cells import cell_counts
 from .shared import new_path
 from .sources import geoparquet
@@ -180,6 +180,10 @@ def wkb_point_bbox(spark, sf_dir):
     return found.withColumn("b", st_bounds("geometry")).select("p_partkey", F.col("b.minx").alias("x"), F.col("b.miny").alias("y"))
 
 
+def frame_meets(spark, sf_dir):
+    return where_meets(_points(spark, sf_dir), 10, 900, 30, 1000).select("p_partkey")
+
+
 def describe_schema(spark, sf_dir):
     return describe(_read(spark, sf_dir, "lineitem"))
 
@@ -419,6 +423,7 @@ QUERIES = {
     "json_path": json_path,
     "wkb_point_bbox": wkb_point_bbox,
     "describe_schema": describe_schema,
+    "frame_meets": frame_meets,
     "cell_counts_many": cell_counts_many,
     "store_query_bbox": store_query_bbox,
     "store_query_covered": store_query_covered,
@@ -513,6 +518,7 @@ ORACLE_SQL = {
     "wkb_point_bbox": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice BETWEEN 920 AND 930",
     "describe_schema": """SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS column_type,
   "null", CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS "default", CAST(NULL AS VARCHAR) AS extra FROM (DESCRIBE SELECT * FROM lineitem)""",
+    "frame_meets": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 900 AND 1000",
     "cell_counts_many": f"{_F}, {_GRID} SELECT cell, CAST(count(minx) AS BIGINT) AS buildings_count FROM c LEFT JOIN f ON maxx >= cx AND cx + 2 >= minx AND maxy >= cy AND cy + 0.25 >= miny GROUP BY cell",
     "store_query_bbox": f"WITH {_P} SELECT p_partkey, p_size * 2 AS twice FROM p WHERE {_where(*PLACE)}",
     "store_query_covered": f"WITH {_P} SELECT p_partkey, p_name FROM p WHERE {_where(*PLACE)}",
