@@ -1,18 +1,13 @@
 """Near copies by SimHash and a Gray-order index.
 
-Fingerprints within a few bits of each other agree in at least one (or two) of a few
-more blocks of bits, so they meet under a block's value. There they are sorted by Gray
+Fingerprints within a few bits of each other agree in at least one (or two, or three) of a
+few more blocks of bits, so they meet under a block's value. There they are sorted by Gray
 rank, which puts close bit patterns side by side, and cut into leaves. A leaf keeps
 the bits that all its fingerprints share as a mask and a value; a node above does
 so for its leaves. Two nodes are compared by the bits both masks hold; the
 differences found there add up on the way down, and pairs of groups over the limit
 are dropped as a whole. Only links that join something new are handed on, so a
 group of n fingerprints gives fewer than n rows.
-
-Many bits differ between texts of a similarity of 0.8, and so wide a limit also links
-texts that have little in common. Where asked for, each text therefore carries a sketch
-of its set of shingles (the least hash in each of SKETCH ranges), and two texts are
-linked only if their sketches agree as well.
 """
 
 from __future__ import annotations
@@ -23,70 +18,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, joined
 from .graph import components
+from .meet import meet
 
-#: Rows that a bin of block values holds on average; a value with more than GROUP is compared chunk by chunk.
-BIN, GROUP, CHUNK = 4_096, 8_192, 4_096
 LEAF, FANOUT = 64, 16
-#: Up to so many values with more than GROUP rows (some MB) are broadcast; more are joined by a shuffle.
-BROADCAST = 50_000
-#: Bytes in a sketch; the estimate of a similarity of 0.8 has a deviation of 0.05.
-SKETCH = 64
+#: Fingerprints under one value, on average over all values that its bits can have, beyond which one more block must agree.
+CROWD = 1_024
+
+
+def fingerprint(hashes):
+    """The 64-bit number whose bits are those set in over half of the hashes, an array of unsigned 64-bit numbers; 0 for none."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int32)
+    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * total > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", sketch: bool = False) -> DataFrame:
-    """doc_id and the 64-bit fingerprint, as a long, of each text; with sketch=True also its sketch.
+def shingle_hashes(text: str | None, words: int):
+    """The hash of each shingle of a text, repeats included.
 
-    A-Z are lowered; words are split at the six ASCII blanks; shingles keep repeats. A
-    text with fewer words is one shingle, one without words or a null has fingerprint 0
-    and an empty sketch (all zero).
+    A-Z are lowered; words are split at the six ASCII blanks. A text with fewer words is one
+    shingle; one without words or a null has none.
     """
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    parts = text.encode().lower().split() if text else []
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    if len(parts) > words:
+        starts, ends = starts[: 1 - words or None], ends[words - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    return np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the 64-bit fingerprint, as a long, of each text; 0 for one without words and for a null."""
     out = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
-    if sketch:
-        out = out.add("sketch", T.BinaryType())
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        ranges = np.arange(SKETCH, dtype=np.uint64) * np.uint64((1 << 64) // SKETCH)
-        most = np.uint64((1 << 64) - 1)
-
-        def one(text):
-            parts = text.encode().lower().split() if text else []
-            if not parts:
-                return 0, bytes(SKETCH)
-            joined = b" ".join(parts)
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            if len(parts) > words:
-                starts, ends = starts[: 1 - words].tolist(), ends[words - 1 :].tolist()
-            else:
-                starts, ends = [0], [len(joined)]
-            n, total = len(starts), np.zeros(64, np.int64)
-            least = np.full(SKETCH, most)
-            for k in range(0, n, 65_536):
-                a, b = starts[k : k + 65_536], ends[k : k + 65_536]
-                h = np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                total += bits.sum(axis=0, dtype=np.int32)
-                if sketch:
-                    h = np.append(np.sort(h), most)
-                    first = h[np.searchsorted(h, ranges)]
-                    inside = first // np.uint64((1 << 64) // SKETCH) == np.arange(SKETCH)
-                    least = np.where(inside, np.minimum(least, first), least)
-            marks = np.where(least == most, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-            return int(weights[2 * total > n].sum(dtype=np.uint64).astype(np.int64)), marks.tobytes()
 
         for batch in batches:
-            values = [one(x.as_py()) for x in batch.column(1)]
-            columns = [pa.array([v[0] for v in values], pa.int64())]
-            if sketch:
-                columns.append(pa.array([v[1] for v in values], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], out.names)
+            values = np.array([fingerprint(shingle_hashes(x.as_py(), words)) for x in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], out.names)
 
     return docs.select(doc_id, text).mapInArrow(run, out)
 
@@ -151,19 +135,8 @@ class GrayIndex:
                 yield p, q, near
 
 
-def alike(a, b):
-    """The share of ranges with a shingle in which two sketches agree, row by row; 1 for two empty ones."""
-    import numpy as np
-
-    some = np.count_nonzero(a | b, axis=1)
-    return np.where(some == 0, 1.0, np.count_nonzero((a == b) & (a != 0), axis=1) / np.maximum(some, 1))
-
-
-def forest(first: GrayIndex, second: GrayIndex, limit: int, sketches=None, least: float = 0.0):
-    """Links within limit bits that connect all that such links connect, without cycles: places in the two orders.
-
-    With sketches, the arrays of both sides in index order, only pairs alike to at least least are links.
-    """
+def forest(first: GrayIndex, second: GrayIndex, limit: int):
+    """Links within limit bits that connect all that such links connect, without cycles: places in the two orders."""
     import numpy as np
 
     same = first is second
@@ -171,12 +144,8 @@ def forest(first: GrayIndex, second: GrayIndex, limit: int, sketches=None, least
     label = np.arange(n if same else n + len(second.values))
     other = label[:n] if same else label[n:]
     for p, q, near in first.pairs(second, limit):
-        if sketches is not None:
-            i, j = np.nonzero(near & (label[p : p + LEAF][: n - p, None] != other[None, q : q + LEAF]))
-            near = np.zeros_like(near)
-            near[i, j] = alike(sketches[0][p + i], sketches[1][q + j]) >= least
         while True:
-            new = near & (label[p : p + LEAF][:n - p, None] != other[None, q : q + LEAF])
+            new = near & (label[p : p + LEAF][: n - p, None] != other[None, q : q + LEAF])
             if not new.any():
                 break
             i, j = divmod(int(new.argmax()), new.shape[1])
@@ -185,94 +154,67 @@ def forest(first: GrayIndex, second: GrayIndex, limit: int, sketches=None, least
             yield p + i, q + j
 
 
-def links(nodes: DataFrame, limit: int = 4, least: float | None = None, agree: int = 1) -> DataFrame:
-    """a, b: links that connect what pairs of nodes (node long, fp long) within limit bits connect.
+def blocks_to_agree(n: int, limit: int) -> int:
+    """How many of limit + agree blocks near fingerprints must share, for n of them: the fewest whose bits have n / CROWD values or more."""
+    agree = 1
+    while agree < 64 - limit and n > CROWD << 64 * agree // (limit + agree):
+        agree += 1
+    return agree
 
-    With least, nodes also have a sketch, and only pairs alike to that degree are linked.
-    Fingerprints are cut into limit + agree blocks, of which near ones share agree; a wide
-    limit needs agree above 1, or so few bits make a value that tasks grow with the input.
 
-    Fingerprints must be distinct. Block values are dealt into bins whose number follows
-    that of the nodes; whatever is near within a bin is a link, under one value or not.
-    A value with more than GROUP rows is dealt out as pairs of chunks instead, so that no
-    task holds more than two chunks of it.
+def links(nodes: DataFrame, limit: int = 4, agree: int | None = None) -> DataFrame:
+    """a, b: links that connect what pairs of nodes (node long, fp long) within limit bits connect.
+
+    Fingerprints are cut into limit + agree blocks, of which near ones share agree. By
+    default agree follows the number of nodes, so that the number under one value stays
+    the same as they grow, and with it the work for each; each has
+    (limit + agree choose agree) values. Fingerprints must be distinct. Whatever is near
+    within a bin of values is a link, under one value or not. Only where the nodes
+    themselves lie close together, as very many near copies of one text, do many share a
+    value; these are compared chunk by chunk, no chunk pair in a task with another.
     """
+    n = nodes.count()
+    agree = agree or blocks_to_agree(n, limit)
     blocks = limit + agree
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum((1 << cuts[k + 1]) - (1 << cuts[k]) for k in ks) for ks in combinations(range(blocks), agree)]
-    keys = [
-        F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("value"))
-        for k, mask in enumerate(masks)
-    ]
-    bins = max(1, -(-nodes.count() * len(keys) // BIN))
-    kept = ["node", "fp"] + ["sketch"] * (least is not None)
-    hot = nodes.select(F.explode(F.array(*keys)).alias("k")).select("k.*").groupBy("block", "value").count().where(F.col("count") > GROUP)
-    hot = cut(hot.select("block", "value", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")))
-    rows = nodes.select(*kept, F.explode(F.array(*keys)).alias("k")).select(*kept, "k.*")
-    if not (n_hot := hot.count()):
-        rows = rows.withColumn("parts", F.lit(0))
-    else:
-        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, ["block", "value"], "left").na.fill(0, ["parts"])
-    group = F.xxhash64("block", "value")
-    chunk = F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))).cast("int")
-    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)))
-    alone = F.col("parts") == 0
-    rows = rows.select(
-        *kept,
-        "chunk",
-        F.when(alone, F.pmod(group, F.lit(bins))).otherwise(group).alias("bin"),
-        F.when(alone, F.lit(-1)).otherwise(F.least("chunk", "other")).alias("lo"),
-        F.when(alone, F.lit(-1)).otherwise(F.greatest("chunk", "other")).alias("hi"),
-    )
-
-    def compare(key, table):
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64)))) for k, mask in enumerate(masks)]
+    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("value"))
+
+    def compare(first, second):
         import numpy as np
         import pyarrow as pa
 
-        node = table.column("node").to_numpy()
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        mine = table.column("chunk").to_numpy()
-        lo, hi = key[1].as_py(), key[2].as_py()
-        sides = [np.unique(fp, return_index=True)[1]] if lo == hi else [np.flatnonzero(mine == c) for c in (lo, hi)]
-        found = []
-        if all(map(len, sides)):
-            indexes = [GrayIndex(fp[s]) for s in sides]
-            first, second = node[sides[0]][indexes[0].order], node[sides[-1]][indexes[-1].order]
-            sketches = None
-            if least is not None:
-                whole = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-                sketches = [whole[sides[k]][indexes[k].order] for k in (0, -1)]
-            found = [(first[i], second[j]) for i, j in forest(indexes[0], indexes[-1], limit, sketches, least or 0.0)]
+        sides = [first] if first is second else [first, second]
+        found, named = [], []
+        for table in sides:
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            once = np.unique(fp, return_index=True)[1]
+            index = GrayIndex(fp[once])
+            named.append((index, table.column("node").to_numpy()[once][index.order]))
+        if all(len(index.values) for index, _ in named):
+            (one, a), (two, b) = named[0], named[-1]
+            found = [(a[i], b[j]) for i, j in forest(one, two, limit)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("bin", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return meet(rows, "value", "node", n * len(keys), compare, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 4, limit: int = 4, doc_id: str = "doc_id", text: str = "text", least: float | None = None, agree: int = 1) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 4, limit: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component for every row: component is the smallest id linked to it, directly or by others.
 
     Rows with equal fingerprints are one class, with its smallest id as node. A row without
-    an id belongs to its class's component but is never its name; a class of such rows has none.
-    With least, classes are linked only if their sketches, each that of the class's node, are
-    alike to that degree as well.
+    an id belongs to its class's component but is never its name; a class of such rows
+    has none and links nothing. Rows that share an id may have components of their own.
     """
-    rows = cut(fingerprints(docs, words, doc_id, text, least is not None))
-    if least is None:
-        classes = rows.groupBy("fp").agg(F.min(doc_id).cast("long").alias("node"))
-    else:
-        first = F.min(F.when(F.col(doc_id).isNotNull(), F.struct(F.col(doc_id).cast("long").alias("node"), "sketch")))
-        classes = rows.groupBy("fp").agg(first.alias("c")).select("fp", "c.*")
-    classes = cut(classes)
-    roots = components(links(classes.where("node IS NOT NULL"), limit, least, agree))
-    named = classes.join(roots, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component"))
-    return rows.join(named, F.col("fp") == F.col("_fp")).select(doc_id, "fp", "component")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, limit: int = 4, doc_id: str = "doc_id", text: str = "text", least: float | None = None, agree: int = 1) -> DataFrame:
-    """The documents whose id names their component, and those without an id."""
-    found = near_copies(docs, words, limit, doc_id, text, least, agree)
-    others = found.where(F.col(doc_id) != F.col("component")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(others, F.col(doc_id) == F.col("_gone"), "left_anti")
+    rows = cut(fingerprints(docs, words, doc_id, text))
+    # ids may name several classes, so classes are told apart by a number of their own
+    classes = rows.groupBy("fp").agg(F.min(doc_id).cast("long").alias("least"))
+    classes = cut(classes.select("fp", "least", F.monotonically_increasing_id().alias("node")))
+    roots = components(links(classes.where("least IS NOT NULL").select("node", "fp")))
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    return joined(rows, named.join(least, "root").select("fp", "component"), ["fp"], [doc_id]).select(doc_id, "fp", "component")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
