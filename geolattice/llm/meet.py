@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Rows that a bin of keys holds on average; a key with more than GROUP is compared chunk by chunk.
-BIN, GROUP, CHUNK = 4_096, 8_192, 4_096
+BIN, GROUP, CHUNK = 2_048, 4_096, 2_048
 #: Up to so many keys with more than GROUP rows (some MB) are broadcast; more are joined by a shuffle.
 BROADCAST = 50_000
 
