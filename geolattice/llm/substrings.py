@@ -230,9 +230,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = stored(with_groups(rows, ["core", "whole"], ["doc", "key"], times), "counted")
     whole = rows.where("n_found > 1").select(*KEYS, F.col("start").alias("lo"), (F.col("start") + F.col("n") + (SIZE - 1)).alias("hi"))
     # the parse's phrases, each by its first place
-    entries = rows.where(F.col("p") == place).select("core", "whole", "n_found", "p").dropDuplicates(["core", "whole"])
-    many = entries.groupBy("core").agg(F.count("*").alias("c"), F.min("n_found").alias("least")).where("c > 1 AND least = 1")
-    chosen = entries.join(many.select("core", (F.col("c") > GROUP).alias("big")), "core").select("p.*", "core", "n_found", "big")
+    entries = stored(rows.where(F.col("p") == place).select("core", "whole", "n_found", "p").dropDuplicates(["core", "whole"]), "entries")
+    many = {"c": (F.count("*"), F.sum), "least": (F.min("n_found"), F.min)}
+    chosen = with_groups(entries, ["core"], ["whole"], many, "c > 1 AND least = 1")
+    chosen = chosen.select("p.*", "core", "n_found", (F.col("c") > GROUP).alias("big"))
     part = dictionary_repeats(docs, chosen, doc_id, text)
     return whole.union(part).groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("list"))
 
