@@ -1,8 +1,12 @@
 """Stupid-backoff scores from tables of n-gram counts, by joins.
 
-The score of token w after v is count(v w) / count(v) if the pair is found least times
-or more, else 0.4 * count(w) / N; a first token's is count(w) / N. Counts cover every
-text. Logarithms are whole numbers of 1 / UNIT, so that sums do not depend on their order.
+The score of a token after the n - 1 before it is count(all n) / count(the n - 1) if the n
+are found least times or more, else 0.4 times its score after n - 2; a token alone scores
+count / N. Each place of a text asks for one n-gram, the longest that ends there. Texts are
+tokenized once, into a table of the n-grams of each chunk of texts with the texts that ask
+for them; counts are summed by n-gram, turned into scores by joins with the counts of
+shorter ones, joined back to the chunks, and summed by text. Logarithms are whole
+numbers of 1 / UNIT, so that sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -18,161 +22,141 @@ from .packing import WordTokens
 
 UNIT = 1 << 20
 BACKOFF = 0.4
-#: Most pairs whose gains are broadcast (8 bytes each); they are the most common, so no other pair is in very many texts.
-HEAD = 262_144
-#: Distinct pairs a worker holds before it hands their counts on, and texts it takes at a time.
-HELD, TEXTS = 2_000_000, 500
+#: Longest n-gram by default; with three, most n-grams of a text are its own, and tables take several times the space of the texts.
+ORDER = 2
+#: Bits of a token id in an n-gram, which is a long; so many fit three tokens.
+BITS = 21
+#: Texts, and tokens beyond which a chunk takes no further text.
+TEXTS, TOKENS = 500, 2_000_000
 
 
-def _units(x: float) -> int:
-    return round(math.log(x) * UNIT)
+def postings(docs: DataFrame, tokenizer: str, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """chunk, n, gram, count, rows, doc, kept as a table: for each chunk of texts its n-grams up to order.
 
-
-def _pairs(texts: list[bytes]):
-    """Ids of all texts end to end, their lengths, and the pair that starts at each place, or -1 at a text's end."""
-    import numpy as np
-
-    ids = np.frombuffer(b"".join(texts), "<u4").astype(np.int64)
-    sizes = np.fromiter((len(x) // 4 for x in texts), np.int64, len(texts))
-    pairs = np.append(ids[:-1] << 16 | ids[1:], -1)[: len(ids)]
-    pairs[(np.cumsum(sizes) - 1)[sizes > 0]] = -1
-    return ids, sizes, pairs
-
-
-def counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """n, gram, count: how often each token (n = 1) and each pair (n = 2, first << 16 | second) occurs in all texts."""
+    rows has a text's number in the chunk for each place that asks for the n-gram. A row with
+    n = 0 stands for text number gram itself, with its tokens as count and its id as doc.
+    Token ids beyond 2**21 - 1 are an error.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         tokens = worker_state(("word", tokenizer), lambda: WordTokens(tokenizer))
-        single, held, size = np.zeros(1 << 16, np.int64), [], 0
-
-        def merged():
-            keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[at], np.add.reduceat(n, at)
-
-        def rows(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["n", "gram", "count"])
+        chunk, held, names, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def rows(n, gram, count, of, ends, doc):
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(of, pa.int32()))
+            some = len(gram)
+            columns = [pa.array(np.full(some, chunk)), pa.array(np.full(some, n, np.int32)), pa.array(gram, pa.int64()), pa.array(count, pa.int64()), lists, doc]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "n", "gram", "count", "rows", "doc"])
+
+        def tables():
+            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+            if len(ids) and ids.max() >> BITS:
+                raise ValueError(f"token id {ids.max()} exceeds {BITS} bits")
+            sizes = np.fromiter((len(x) // 4 for x in held), np.int64, len(held))
+            nothing = np.zeros(0, np.int32)
+            yield rows(0, np.arange(len(held)), sizes, nothing, np.zeros(len(held) + 1, np.int32), pa.concat_arrays(names))
+            of = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            gram = ids
+            for n in range(1, order + 1):
+                if n > 1:
+                    gram = np.append(np.zeros(1, np.int64), gram[:-1])[: len(ids)] << BITS | ids
+                here = np.flatnonzero(place >= n - 1)
+                by_gram = here[np.argsort(gram[here], kind="stable")]
+                g = gram[by_gram]
+                asks = np.ones(len(g), bool) if n == order else place[by_gram] == n - 1
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else nothing
+                ends = np.append(0, np.cumsum(asks))[np.append(first, len(g))]
+                asked = of[by_gram[asks]]
+                for k in range(0, len(first), 500_000):
+                    to = min(k + 500_000, len(first))
+                    edges = ends[k : to + 1]
+                    yield rows(n, g[first[k:to]], np.diff(np.append(first, len(g))[k : to + 1]), asked[edges[0] : edges[-1]], edges - edges[0], pa.nulls(to - k, names[0].type))
 
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
-                ids, _, pairs = _pairs(tokens.encode(batch.column(0).slice(k, TEXTS).to_pylist()))
-                single += np.bincount(ids, minlength=1 << 16)
-                held.append(np.unique(pairs[pairs >= 0], return_counts=True))
-                size += len(held[-1][0])
-                if size > 2 * HELD:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > HELD:
-                        yield rows(2, *held[0])
-                        held, size = [], 0
-        if size:
-            yield rows(2, *merged())
-        yield rows(1, np.flatnonzero(single), single[single > 0])
-
-    return docs.select(text).mapInArrow(run, "n int, gram long, count long").groupBy("n", "gram").agg(F.sum("count").alias("count"))
-
-
-def scores(docs: DataFrame, tokenizer: str, least: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_score (the sum of natural logarithms) and mean_log_score of every row.
+                part = batch.slice(k, TEXTS)
+                held += tokens.encode(part.column(1).to_pylist())
+                names.append(part.column(0))
+                size += sum(map(len, held[-part.num_rows :])) // 4
+                if size > TOKENS:
+                    yield from tables()
+                    chunk, held, names, size = chunk + 1, [], [], 0
+        if held:
+            yield from tables()
 
-    A text without tokens, or a null, has score 0 and a null mean. Rows that share an id stay apart.
-    """
-    spark = docs.sparkSession
-    table = stored(counts(docs, tokenizer, text), "grams")
-    single = {r.gram: r["count"] for r in table.where("n = 1").collect()}  # as many as the vocabulary at most
-    total = sum(single.values())
-    context = [_units(single.get(i, 1)) for i in range(1 << 16)]
-    first = [c - (_units(total) if total else 0) for c in context]
-    penalty = _units(BACKOFF)
-    ids = spark.sparkContext.broadcast((context, first))
-
-    def gain(batches):
-        """What a pair's score is above that of backing off."""
-        import numpy as np
-        import pyarrow as pa
+    return stored(docs.select(doc_id, text).mapInArrow(run, f"chunk long, n int, gram long, count long, rows array<int>, doc {kind}"), "grams")
 
-        context, first = (np.array(x, np.int64) for x in ids.value)
-        for batch in batches:
-            gram, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            value = np.rint(np.log(n) * UNIT).astype(np.int64) - context[gram >> 16] - first[gram & 0xFFFF] - penalty
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["gram", "count", "gain"])
-
-    pairs = table.where(F.col("n") == 2).where(F.col("count") >= least).select("gram", "count").mapInArrow(gain, "gram long, count long, gain long")
-    pairs = stored(pairs, "gains").withColumn("level", F.floor(8 * F.log2("count")))
-    in_head, bar = 0, None
-    for level, n in pairs.groupBy("level").count().orderBy(F.desc("level")).collect():
-        in_head += n
-        if in_head > HEAD:
-            break
-        bar = level
-    common = sorted(map(tuple, pairs.where(F.col("level") >= bar).select("gram", "gain").collect())) if bar is not None else []
-    head = spark.sparkContext.broadcast(common)
-    rare = pairs.where(F.lit(bar is None) | (F.col("level") < (bar if bar is not None else 0))).select("gram", "gain")
-
-    def explode(batches):
-        """For each row its score by tokens and common pairs (with a gram below 0), and one row for each other pair in it."""
-        import numpy as np
-        import pyarrow as pa
 
-        tokens = worker_state(("word", tokenizer), lambda: WordTokens(tokenizer))
-        _, first = (np.array(x, np.int64) for x in ids.value)
-        known = np.array([x[0] for x in head.value], np.int64)
-        gains = np.array([x[1] for x in head.value] + [0], np.int64)
-        at = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(k, TEXTS)
-                n = part.num_rows
-                one, sizes, pairs = _pairs(tokens.encode(part.column(1).to_pylist()))
-                row = np.repeat(np.arange(n), sizes)
-                place = np.searchsorted(known, pairs)
-                is_known = known[np.minimum(place, len(known) - 1)] == pairs if len(known) else np.zeros(len(pairs), bool)
-                value = first[one] + penalty
-                value[:] += np.where(is_known, gains[np.where(is_known, place, 0)], 0)[np.arange(-1, len(pairs) - 1)] if len(pairs) else 0
-                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-                value[starts] = first[one[starts]]
-                sums = np.zeros(n, np.int64)
-                np.add.at(sums, row, value)
-                other = (pairs >= 0) & ~is_known
-                order = np.lexsort((pairs[other], row[other]))
-                r, p = row[other][order], pairs[other][order]
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])) if len(r) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(r)))
-                nulls = pa.nulls(len(new), part.column(0).type)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.arange(n), r[new]]) + at),
-                        pa.concat_arrays([part.column(0), nulls]),
-                        pa.array(np.concatenate([-1 - at - np.arange(n), p[new]])),
-                        pa.array(np.concatenate([sizes, times])),
-                        pa.array(np.concatenate([sums, np.zeros(len(new), np.int64)])),
-                    ],
-                    ["row", "doc", "gram", "times", "units"],
-                )
-                at += n
+def counts(grams: DataFrame) -> DataFrame:
+    """n, gram, count, asked, kept as a table: how often each n-gram occurs and whether a text asks for it, of the rows that postings() gives."""
+    found = grams.where("n > 0").groupBy("n", "gram").agg(F.sum("count").alias("count"), F.max(F.size("rows")).alias("asked"))
+    return stored(found.withColumn("asked", F.col("asked") > 0), "counts")
+
 
+def _units(count) -> F.Column:
+    return F.round(F.log(count.cast("double")) * UNIT).cast("long")
+
+
+def gram_scores(asked: DataFrame, table: DataFrame, order: int = ORDER, least: int = 1) -> DataFrame:
+    """n, gram, units: the score of each n-gram asked for (n, gram, distinct) by the counts in table, in units.
+
+    An n-gram found less than least times is scored by its tokens but the first, at a
+    penalty. A token that the table lacks scores as one found once.
+    """
+    total = table.where("n = 1").agg(F.sum("count")).first()[0] or 1
+    parts, rest = [], asked.select("n", "gram", F.col("gram").alias("tail"), F.lit(0).cast("long").alias("units"))
+    for m in range(order, 1, -1):
+        known = table.where((F.col("n") == m) & (F.col("count") >= least)).select(F.col("gram").alias("tail"), F.col("count").alias("c"))
+        context = table.where(F.col("n") == m - 1).select(F.col("gram").alias("before"), F.col("count").alias("of"))
+        here = rest.where(F.col("n") >= m).join(known, "tail", "left").withColumn("before", F.shiftright("tail", BITS))
+        met = here.where("c IS NOT NULL").join(F.broadcast(context) if m == 2 else context, "before")
+        parts.append(met.select("n", "gram", (F.col("units") + _units(F.col("c")) - _units(F.col("of"))).alias("units")))
+        shorter = F.col("tail").bitwiseAND(F.lit((1 << BITS * (m - 1)) - 1))
+        missed = here.where("c IS NULL").select("n", "gram", shorter.alias("tail"), (F.col("units") + round(math.log(BACKOFF) * UNIT)).alias("units"))
+        rest = rest.where(F.col("n") < m).union(missed)
+    # no more rows than the vocabulary has tokens
+    single = F.broadcast(table.where("n = 1").select(F.col("gram").alias("tail"), F.col("count").alias("c")))
+    alone = rest.join(single, "tail", "left")
+    parts.append(alone.select("n", "gram", (F.col("units") + _units(F.coalesce("c", F.lit(1))) - round(math.log(total) * UNIT)).alias("units")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def scores(docs: DataFrame, tokenizer: str, least: int = 1, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", model: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_score (the sum of natural logarithms) and mean_log_score of every row.
+
+    The counts are those of docs, or model, which counts() made of other documents with the
+    same tokenizer and order. A text without tokens, or a null, has score 0 and a null mean. Rows
+    that share an id, or have none, stay apart; other columns are not looked at.
+    """
+    grams = postings(docs, tokenizer, order, doc_id, text)
+    own = counts(grams)
+    found = stored(gram_scores(own.where("asked").select("n", "gram"), own if model is None else model, order, least), "scores")
+    # a chunk has an n-gram once, so a very common one has as many rows as there are chunks, and its texts stay with their chunks
+    some = grams.where((F.col("n") > 0) & (F.size("rows") > 0))
+    by_chunk = some.select("chunk", "n", "gram").join(found, ["n", "gram"])
+    asked = some.select("chunk", "n", "gram", "rows").join(by_chunk, ["chunk", "n", "gram"]).select("chunk", F.explode("rows").alias("row"), "units")
+    none = lambda kind: F.lit(None).cast(kind)
     kind = docs.schema[doc_id].dataType.simpleString()
-    exploded = docs.select(doc_id, text).mapInArrow(explode, f"row long, doc {kind}, gram long, times long, units long")
-    joined = exploded.join(rare, "gram", "left").groupBy("row")
-    is_base = F.col("gram") < 0
-    found = joined.agg(
-        F.max("doc").alias(doc_id),
-        F.sum(F.when(is_base, F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(is_base, F.col("units")).otherwise(F.col("times") * F.coalesce("gain", F.lit(0)))).alias("units"),
-    )
+    base = grams.where("n = 0").select("chunk", F.col("gram").cast("int").alias("row"), F.lit(0).cast("long").alias("units"), F.col("count").alias("n_tokens"), "doc")
+    rows = base.union(asked.select("chunk", "row", "units", none("long"), none(kind)))
+    sums = rows.groupBy("chunk", "row").agg(F.max("doc").alias(doc_id), F.max("n_tokens").alias("n_tokens"), F.sum("units").alias("units"))
     log_score = F.col("units") / F.lit(float(UNIT))
-    return found.select(doc_id, "n_tokens", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
+    return sums.select(doc_id, "n_tokens", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
 
 
 def op5_lm_scores(spark, sf_dir: str) -> DataFrame:
-    """Score of every document by the counts of all documents; every counted pair counts, those found once too."""
+    """Score of every document by the counts of all documents; every counted n-gram counts, those found once too."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scores(docs, public_tokenizers.path("word_bpe_49k.json"), least=1)
+    return scores(docs, public_tokenizers.path("word_bpe_49k.json"))
