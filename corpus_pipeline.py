@@ -36,7 +36,8 @@ def line_dedup(spark, docs, sf_dir):
 def simhash_dedup(spark, docs, sf_dir):
     """Of documents that are near copies by five-word shingles, the one with the smallest id stays.
 
-    Sketches propose the pairs; a similarity of the shingle sets of 0.8 or more links them.
+    The SimHash index and, beyond its reach, least hashes propose the pairs; a similarity of
+    the shingle sets of 0.8 or more links them. Documents without an id come last.
     """
     return one_of_each(docs.select(*COLUMNS), words=5, least=0.8)
 
@@ -51,7 +52,7 @@ def packing(spark, docs, sf_dir):
     """The pieces of all documents in sequences of 2048 tokens, ids as checksums."""
     import public_tokenizers
 
-    rows = crc32_of_ids(pack(docs, public_tokenizers.path("word_bpe_49k.json"), recent=200_000))
+    rows = crc32_of_ids(pack(docs, public_tokenizers.path("word_bpe_49k.json"), recent=100_000))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
