@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, fresh, shared_dir, stored
 
-__all__ = ["BLANKS", "byte_slices", "cut", "fresh", "joined", "let", "shared_dir", "stored", "with_groups", "worker_state"]
+__all__ = ["BLANKS", "byte_slices", "cut", "fresh", "joined", "let", "shared_dir", "stored", "tidy", "with_groups", "worker_state"]
 
 #: Words are maximal runs of characters other than these (a Java regex class body).
 BLANKS = r"\x20\x09-\x0D"
@@ -55,6 +55,19 @@ def worker_state(key, make):
     return home.values[key]
 
 
+def tidy() -> None:
+    """Gives memory that this worker process no longer uses back to the machine, so that idle workers stay small."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def let(value, use):
     """use(value), with value evaluated once for each row however often use() names it."""
     return F.transform(F.array(value), use)[0]

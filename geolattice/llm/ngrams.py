@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, worker_state
+from .common import stored, tidy, worker_state
 from .packing import WordTokens
 
 UNIT = 1 << 20
@@ -27,7 +27,9 @@ ORDER = 2
 #: Bits of a token id in an n-gram, which is a long; so many fit three tokens.
 BITS = 21
 #: Texts, and tokens beyond which a chunk takes no further text.
-TEXTS, TOKENS = 500, 2_000_000
+TEXTS, TOKENS = 500, 4_000_000
+#: Entries of a worker's table of recent words.
+RECENT = 400_000
 
 
 def postings(docs: DataFrame, tokenizer: str, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,7 +47,7 @@ def postings(docs: DataFrame, tokenizer: str, order: int = ORDER, doc_id: str =
         import numpy as np
         import pyarrow as pa
 
-        tokens = worker_state(("word", tokenizer), lambda: WordTokens(tokenizer))
+        tokens = worker_state(("word", tokenizer, RECENT), lambda: WordTokens(tokenizer, RECENT))
         chunk, held, names, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def rows(n, gram, count, of, ends, doc):
@@ -90,6 +92,7 @@ def postings(docs: DataFrame, tokenizer: str, order: int = ORDER, doc_id: str =
                     chunk, held, names, size = chunk + 1, [], [], 0
         if held:
             yield from tables()
+        tidy()
 
     return stored(docs.select(doc_id, text).mapInArrow(run, f"chunk long, n int, gram long, count long, rows array<int>, doc {kind}"), "grams")
 

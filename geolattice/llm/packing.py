@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters, letters, packed
-from .common import worker_state
+from .common import tidy, worker_state
 
 #: Entries of a worker's table of recent words; when full it starts anew.
 RECENT = 800_000
@@ -244,6 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, doc_id
         keep(packer.finish())
         if rows:
             yield table()
+        tidy()
 
     return docs.select(doc_id, text).mapInArrow(run, out)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, fresh, joined, stored, with_groups
+from .common import cut, fresh, joined, stored, tidy, with_groups
 from .graph import components
 from .meet import meet
 
@@ -66,6 +66,7 @@ def signatures(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: st
                 fps = pa.array(np.array(fps, np.uint64).view(np.int64))
                 columns = [*part.columns[:2], pa.array(digests, pa.binary()), fps, pa.array(marks, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "digest", "fp", "marks", "keys"])
+        tidy()
 
     rows = docs.select(doc_id, row_key(doc_id, text).alias("key"), text)
     return rows.mapInArrow(run, f"doc {kind}, key long, digest binary, fp long, marks binary, keys array<long>")
@@ -111,6 +112,7 @@ def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, words: int,
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [alike(shingles(i, x), shingles(j, y), least) for i, j, x, y in zip(a, b, batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        tidy()
 
     pairs = stored(pairs, "pairs")
     found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, places)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stored, with_groups
+from .common import fresh, stored, tidy, with_groups
 
 SIZE = 200
 GRAM = 8
@@ -140,6 +140,7 @@ def phrases(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 total += len(x)
             if held:
                 yield rows(ids.slice(since), keys.slice(since), held)
+        tidy()
 
     return docs.select(F.col(doc_id).alias("doc"), row_key(doc_id, text).alias("key"), text).mapInArrow(run, out)
 
@@ -257,7 +258,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as
         import pyarrow as pa
 
         at = names.index(text)
-        for batch in batches:
+        # a thousand texts at a time, so that a worker holds few of them twice
+        for batch in (b.slice(k, 1_000) for b in batches for k in range(0, b.num_rows, 1_000)):
             made = [[], [], [], []]
             for x, spans in zip(batch.column(at), batch.column(len(names))):
                 data, merged = (x.as_py() or "").encode(), []
@@ -277,6 +279,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as
                 for column, value in zip(made, (len(data), size, len(merged), kept)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(m, pa.int64()) for m in made[:3]), pa.array(made[3], pa.string() if as_text else pa.binary())], out.names)
+        tidy()
 
     return rows.select(*(F.col(f"`{c}`") for c in names), found).mapInArrow(run, out)
 
