@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -101,6 +102,51 @@ def test_bpe_equals_the_library_and_returns(docs, odd, none, words):
         assert sorted(r.ids for r in rows) == expected
 
 
+def test_bpe_encodes_and_decodes_in_one_pass_and_by_columns(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["op1_bpe"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # ids don't go to another worker
+    words = {f" {w}".encode(): bpe.packed(tokenizer(BYTES).encode(f" {w}", add_special_tokens=False).ids) for w in ["the", "stone"]}
+    (tmp_path / "lexicon").write_bytes(bpe.build_lexicon(words))
+    encoder = bpe.Encoder(BYTES, str(tmp_path / "lexicon"))
+    asked, known = [], encoder.known
+    monkeypatch.setattr(encoder, "known", lambda x: asked.extend(x) or known(x))
+    column = pa.array(["the stone the stone the stone", None, "stone the\nthe the the"])
+    assert encoder.encode(column).to_pylist() == [tokenizer(BYTES).encode(x or "", add_special_tokens=False).ids for x in column.to_pylist()]
+    assert len(asked) == len(set(asked)) == 6  # heads "the", "", "stone"; "stone", "the" and the line feed's "the"
+    monkeypatch.setattr(bpe, "RECENT", 0)
+    encoder.encode(pa.array(["x unseen the"]))
+    encoder.encode(pa.array([""]))
+    assert set(encoder.recent) == {"the", "stone", bpe.HEAD}  # the lexicon's words stay
+
+
+@pytest.mark.parametrize("words", [[], [" ab", "ab", "\nab", " don't"]])
+def test_bpe_of_odd_blanks_and_marks_by_columns(tmp_path, words):
+    t, r = tokenizer(BYTES), random.Random(6)
+    (tmp_path / "lexicon").write_bytes(bpe.build_lexicon({w.encode(): bpe.packed(t.encode(w, add_special_tokens=False).ids) for w in words}))
+    parts = ["ab", "don't", "é", "42", ".", "***", " ", " ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff", "<|endoftext|>", "<|", "😀", "日本", "x" * 70]
+    made = [None, "", " ", "\n", "ab " * 400_000] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(3_000)]
+    encoder, decoder = bpe.Encoder(BYTES, str(tmp_path / "lexicon")), bpe.Decoder(BYTES)
+    for size in (7, len(made)):
+        for k in range(0, len(made), size):
+            column = pa.array(["before", *made[k : k + size], "behind"], pa.string()).slice(1, len(made[k : k + size]))
+            ids = encoder.encode(column)
+            assert ids.to_pylist() == [t.encode(x or "", add_special_tokens=False).ids for x in column.to_pylist()]
+            assert decoder.decode(ids).to_pylist() == [x or "" for x in column.to_pylist()]
+
+
+def test_decoding_by_columns(spark):
+    decoder, t = bpe.Decoder(BYTES), tokenizer(BYTES)
+    half = t.encode("日", add_special_tokens=False).ids[:1]
+    ids = [[5], half, None, [], t.encode("ab é", add_special_tokens=False).ids, half + half, None]
+    column = pa.array([[9, None], *ids], pa.list_(pa.int32()))
+    expected = [None if x is None else t.decode(x, skip_special_tokens=False) for x in ids]
+    assert decoder.decode(column.slice(1)).to_pylist() == expected
+    assert decoder.decode(column.slice(3, 2)).to_pylist() == [None, ""]
+    assert decoder.decode(column.slice(0, 1)).to_pylist() == [t.decode([9])]
+    assert decoder.decode(column.slice(0, 0)).to_pylist() == []
+
+
 def test_ids_that_stand_for_nothing_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, [-1, 10**6, 2**31 - 1]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(rows, BYTES).collect()} == {1: "", 2: None, 3: ""}
